@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality
 
-MODULES = (mixing,)
+MODULES = (quality, mixing)
 
 
 def queries() -> dict:
