@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, secrets
 
-MODULES = (quality, mixing)
+MODULES = (secrets, quality, mixing)
 
 
 def queries() -> dict:
