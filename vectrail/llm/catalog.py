@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets
+from . import mixing, quality, secrets, warc
 
-MODULES = (secrets, quality, mixing)
+MODULES = (secrets, quality, warc, mixing)
 
 
 def queries() -> dict:
