@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, warc
+from . import extract, mixing, packing, quality, secrets, warc
 
-MODULES = (secrets, quality, warc, mixing)
+MODULES = (secrets, extract, quality, warc, mixing, packing)
 
 
 def queries() -> dict:
