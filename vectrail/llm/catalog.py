@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extract, mixing, neighbours, packing, quality, secrets, warc
+from . import extract, mixing, near_duplicates, neighbours, packing, quality, secrets, warc
 
-MODULES = (secrets, extract, quality, neighbours, warc, mixing, packing)
+MODULES = (secrets, extract, quality, neighbours, near_duplicates, warc, mixing, packing)
 
 
 def queries() -> dict:
