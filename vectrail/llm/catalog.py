@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extract, lines, mixing, near_duplicates, neighbours, packing, quality, secrets, warc
+from . import extract, lines, mixing, near_duplicates, neighbours, packing, quality, secrets, suffixes, warc
 
-MODULES = (secrets, extract, quality, neighbours, near_duplicates, warc, mixing, lines, packing)
+MODULES = (secrets, extract, quality, neighbours, suffixes, near_duplicates, warc, mixing, lines, packing)
 
 
 def queries() -> dict:
