@@ -38,8 +38,8 @@ from .shingles import BASE, mix
 LENGTH = 50
 ANCHOR = 16
 SPAN = LENGTH - ANCHOR + 1
-CHUNK_BYTES = 8 << 20
-SEGMENT = 1 << 20
+CHUNK_BYTES = 1 << 20
+SEGMENT = 1 << 18
 BUCKET_BYTES = 32 << 20
 SHARD_BYTES = 16 << 20
 LANES = 8192
