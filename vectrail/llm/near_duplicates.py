@@ -11,11 +11,13 @@ Rows of equal sets are one node, so copies never meet each other. Links are want
 leaves out most pairs of a large group:
 
 1. in every bucket, all are compared with one member, the one that meets most others over all its bands;
-2. buckets whose members are not yet in one component are gone through again, pair by pair, but only pairs of
-   different components that their sizes and the numbers of shingles that they share with anyone allow to be linked.
+2. where that leaves several components in a bucket, its members are compared with the LEADS least edited of them;
+3. in buckets that are still open, pairs of different components are verified that three bounds allow to be linked.
 
-Both bounds are exact: with ``s`` shingles that occur in another node, a pair shares at most the smaller ``s``. A copy
-with edits of its own has no such pair left, so groups of many such copies take no quadratic work. No bucket is capped.
+The bounds are exact: the sizes; with ``s`` shingles that occur in another node, a pair shares at most the smaller
+``s``; and sets differ in at least as many elements as cells of a fixed number hold an odd number of elements of just
+one of them. A copy with edits of its own has hardly a pair left, so a large group of such copies yields few. No bucket
+is capped.
 A link is missed only if no band agrees, at similarity 0.85 with probability 4e-7 and at 0.8 with 3e-5.
 
 Defined results: null, empty or blank texts have no shingles, no links, and are kept; a null id is not reachable as
@@ -41,7 +43,10 @@ from .shingles import chunks, mix, shingle_sets
 REGISTERS, ROWS = 80, 4
 B, RATE, TOP = 1.001, 20.0, 65535
 DOUBT = 25.0
+#: Members that an open bucket is compared with before its pairs are gone through.
+LEADS = 3
 SEED = 11
+PARITIES = 1024
 _SALT = np.random.default_rng(SEED).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Set elements that are hashed at once.
 PART = 1 << 16
@@ -70,6 +75,23 @@ def bands(found: np.ndarray) -> np.ndarray:
     return mix(packed ^ mix(np.arange(1, packed.shape[1] + 1, dtype=np.uint64))[None, :]).astype(np.int64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Per set, which of PARITIES cells hold an odd number of its elements, as longs of 64 bits."""
+    out = []
+    for a in range(0, len(sets), 1024):
+        part = sets[a : a + 1024]
+        cell = (np.concatenate(part) >> np.uint64(20)).astype(np.int64) % PARITIES
+        owner = np.repeat(np.arange(len(part)), [len(s) for s in part])
+        odd = np.bincount(owner * PARITIES + cell, minlength=len(part) * PARITIES) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(len(part), PARITIES), axis=1).view("<i8"))
+    return np.concatenate(out) if out else np.zeros((0, PARITIES // 64), np.int64)
+
+
+def _apart(x: str, y: str):
+    """At least so many elements are in only one of two sets: the cells whose parities differ."""
+    return F.expr(" + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(PARITIES // 64)))
+
+
 def estimate(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Most likely similarity of pairs of registers and set sizes, and its log likelihood over that at the threshold."""
     more, less = (u > v).sum(1), (u < v).sum(1)
@@ -89,7 +111,7 @@ def estimate(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, thres
 
 
 def sketched(docs: DataFrame, k: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, th, n, fp, bands, registers`` per row; ``fp`` stands for the set, ``th`` for the text."""
+    """``doc_id, th, n, fp, bands, registers, odd`` per row; ``fp`` stands for the set, ``th`` for the text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,14 +121,16 @@ def sketched(docs: DataFrame, k: int, id_col="doc_id", text_col="text") -> DataF
                 some = registers([sets[i] for i in full]) if full else np.zeros((0, REGISTERS), np.uint16)
                 keys: list = [None] * (b - a)
                 regs: list = [None] * (b - a)
+                odds: list = [None] * (b - a)
+                odd = parities([sets[i] for i in full])
                 prints: list = [None] * (b - a)
-                for i, row, key in zip(full, some, bands(some) if full else [], strict=True):
-                    keys[i], regs[i], prints[i] = key, row.tobytes(), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                for i, row, key, cells in zip(full, some, bands(some) if full else [], odd, strict=True):
+                    odds[i], keys[i], regs[i], prints[i] = cells, key, row.tobytes(), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(regs, pa.binary())],
-                    names=["doc_id", "th", "n", "fp", "bands", "registers"],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(regs, pa.binary()), pa.array(odds, pa.list_(pa.int64()))],
+                    names=["doc_id", "th", "n", "fp", "bands", "registers", "odd"],
                 )
-    return rows.mapInArrow(run, "doc_id long, th long, n long, fp binary, bands array<long>, registers binary")
+    return rows.mapInArrow(run, "doc_id long, th long, n long, fp binary, bands array<long>, registers binary, odd array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col="doc_id", text_col="text") -> DataFrame:
@@ -125,8 +149,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col="doc_id", text_
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that their sizes and registers do not rule out."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"), F.col("odd").alias(f"o{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    rows = rows.where((100 + percent) * _apart("oa", "ob") <= (100 - percent) * (F.col("na") + F.col("nb")))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -158,8 +183,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
     """``doc_id, th, n, component, component_id`` per row of ``docs``; ``percent`` is the least similarity in hundredths."""
     rows = staged(sketched(docs, k, id_col, text_col))
-    named = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("from"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
-    nodes = staged(named.select(F.monotonically_increasing_id().alias("node"), "fp", "least", "from.doc_id", "from.th", "n", "bands", "registers"))
+    named = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("from"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("odd").alias("odd"))
+    nodes = staged(named.select(F.monotonically_increasing_id().alias("node"), "fp", "least", "from.doc_id", "from.th", "n", "bands", "registers", "odd"))
     banded = nodes.select("node", F.explode("bands").alias("key"))
     met = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = staged(banded.join(met, "key"))
@@ -171,8 +196,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col="doc_
     tested = staged(likely(pairs, nodes, percent))
     links = staged(verified(tested, sets, percent))
     found = staged(components(links))
-    links = links.union(verified(_rest(met, found, sets, tested, nodes, percent), sets, percent))
-    links = staged(links)
+    able = staged(_open(met, found, sets, nodes, percent))
+    tested, more = _against_leads(able, tested, nodes, sets, percent)
+    links = staged(links.union(more))
+    found = staged(components(links))
+    links = staged(links.union(verified(_rest(able, found, tested, nodes, percent), sets, percent)))
     found = components(links)
     of_node = nodes.select("node", "fp", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -181,9 +209,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col="doc_
     return out.select("doc_id", "th", "n", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _rest(met: DataFrame, found: DataFrame, sets: DataFrame, tested: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs of open buckets that are still worth a test, as ``a, b``."""
-    now = met.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+def _open(met: DataFrame, found: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Members of buckets that hold several components: ``key, node, component, n, s, odd``, where ``s`` of the node's ``n``
+    shingles occur in another such node; without nodes whose ``s`` is too small for any link."""
+    now = _labelled(met.select("key", "node"), found)
     still = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     now = staged(now.join(still, "key"))
     concerned = now.select("node").distinct()
@@ -193,15 +222,41 @@ def _rest(met: DataFrame, found: DataFrame, sets: DataFrame, tested: DataFrame,
                 x = np.frombuffer(x.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x)], names=["node", "item"])
     each = sets.join(concerned, "node").select("node", "items").mapInArrow(items, "node long, item long")
-    each = staged(each)
-    once = each.groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    alone = once.groupBy("node").agg(F.count("*").alias("alone"))
+    alone = each.groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
     shared = nodes.select("node", "n").join(concerned, "node").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
-    able = now.join(shared.where(100 * F.col("s") >= percent * F.col("n")), "node")
-    x, y = able.alias("x"), able.alias("y")
-    most = F.expr("least(x.s, y.s, x.n, y.n)")
-    fits = F.expr("x.key = y.key and x.node > y.node and x.component <> y.component") & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
-    pairs = x.join(y, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return now.join(shared.where(100 * F.col("s") >= percent * F.col("n")), "node").join(nodes.select("node", "odd"), "node")
+
+
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _possible(percent: int):
+    """Whether sizes, shared shingles and parities of members ``x`` and ``y`` allow a link."""
+    most, both = F.expr("least(x.s, y.s, x.n, y.n)"), F.expr("x.n + y.n")
+    near = (100 + percent) * _apart("x.odd", "y.odd") <= (100 - percent) * both
+    return F.expr("x.key = y.key and x.component <> y.component") & (100 * most >= percent * (both - most)) & near
+
+
+def _against_leads(able: DataFrame, tested: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Compare the members of each open bucket with its LEADS members that have the fewest shingles of their own, which
+    in a family of edited copies are the least edited. Returns all pairs tested so far, and the new links."""
+    order = Window.partitionBy("key").orderBy((F.col("s") / F.col("n")).desc(), F.col("n").desc(), "node")
+    leads = able.withColumn("i", F.row_number().over(order)).where(F.col("i") <= LEADS)
+    pairs = able.alias("x").join(leads.alias("y"), _possible(percent))
+    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    fresh = staged(likely(pairs.join(tested, ["a", "b"], "left_anti"), nodes, percent))
+    return tested.union(fresh), verified(fresh, sets, percent)
+
+
+def _rest(able: DataFrame, found: DataFrame, tested: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of open buckets that are still worth a test, as ``a, b``; each only in the first band that it shares."""
+    rows = staged(_labelled(able.drop("component"), found))
+    still = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    rows = rows.join(still, "key").join(nodes.select("node", "bands"), "node")
+    first = F.get(F.filter("x.bands", lambda b, i: b == F.get("y.bands", i)), F.lit(0)) == F.col("x.key")
+    pairs = rows.alias("x").join(rows.alias("y"), _possible(percent) & F.expr("x.node > y.node") & first)
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     return likely(pairs.join(tested, ["a", "b"], "left_anti"), nodes, percent)
 
 
