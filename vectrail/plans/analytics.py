@@ -11,7 +11,14 @@ from ..tables import table
 from .registry import query
 
 C = F.col
-ERROR, WARNING = C("event_type") == "error", C("event_type") == "signup"
+
+
+def _is_error():
+    return C("event_type") == "error"
+
+
+def _is_warning():
+    return C("event_type") == "signup"
 
 
 @query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY event_type, user_id")
@@ -21,7 +28,7 @@ def log_counts(spark, d) -> DataFrame:
 
 @query("SELECT round(coalesce(avg((event_type = 'error')::INT), 0), 6) AS error_rate, round(coalesce(avg((event_type = 'signup')::INT), 0), 6) AS warning_rate FROM events")
 def log_error_rate(spark, d) -> DataFrame:
-    return table(spark, d, "events").agg(F.round(A.rate(ERROR), 6).alias("error_rate"), F.round(A.rate(WARNING), 6).alias("warning_rate"))
+    return table(spark, d, "events").agg(F.round(A.rate(_is_error()), 6).alias("error_rate"), F.round(A.rate(_is_warning()), 6).alias("warning_rate"))
 
 
 def _rank_sql(p: float) -> str:
@@ -45,9 +52,9 @@ def top_messages(spark, d) -> DataFrame:
 @query("""SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'signup') AS warnings, round(max(value), 6) AS slowest,
 CASE WHEN count(*) FILTER (event_type = 'error') * 4 > count(*) THEN 'unhealthy' WHEN count(*) FILTER (event_type = 'error') * 10 > count(*) THEN 'degraded' ELSE 'healthy' END AS status FROM events GROUP BY user_id""")
 def component_health(spark, d) -> DataFrame:
-    errors = F.count_if(ERROR)
+    errors = F.count_if(_is_error())
     status = F.when(errors * 4 > F.count("*"), "unhealthy").when(errors * 10 > F.count("*"), "degraded").otherwise("healthy")
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), errors.alias("errors"), F.count_if(WARNING).alias("warnings"), F.round(F.max("value"), 6).alias("slowest"), status.alias("status"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), errors.alias("errors"), F.count_if(_is_warning()).alias("warnings"), F.round(F.max("value"), 6).alias("slowest"), status.alias("status"))
 
 
 @query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.3 * x + 0.7 * a), 6) AS ema FROM events GROUP BY user_id")
@@ -58,7 +65,7 @@ def ema_duration(spark, d) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL '1 minute', ts) AS minute, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'signup') AS warnings FROM events GROUP BY 1")
 def log_buckets(spark, d) -> DataFrame:
     rows = table(spark, d, "events").groupBy(F.window("ts", "1 minute").alias("w"))
-    return rows.agg(F.count("*").alias("n"), F.count_if(ERROR).alias("errors"), F.count_if(WARNING).alias("warnings")).select(C("w.start").alias("minute"), "n", "errors", "warnings")
+    return rows.agg(F.count("*").alias("n"), F.count_if(_is_error()).alias("errors"), F.count_if(_is_warning()).alias("warnings")).select(C("w.start").alias("minute"), "n", "errors", "warnings")
 
 
 @query("""SELECT event_id FROM events WHERE event_type IN ('error', 'signup') AND user_id NOT IN (1, 2) AND contains(lower(props), '"k"') AND regexp_matches(props, '[13579]\\}$')
@@ -77,7 +84,7 @@ def log_page(spark, d) -> DataFrame:
 WHERE errors > 3 AND errors::DOUBLE / n > 0.05""")
 def alert_eval(spark, d) -> DataFrame:
     """Hours in which the number and the rate of errors are both over their limits."""
-    hours = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.count_if(ERROR).alias("errors"))
+    hours = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.count_if(_is_error()).alias("errors"))
     return hours.where((C("errors") > 3) & (C("errors") / C("n") > 0.05)).select(C("w.start").alias("hour"), "n", "errors")
 
 

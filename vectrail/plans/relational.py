@@ -9,13 +9,16 @@ from ..tables import table, views
 from .registry import query
 
 C = F.col
-REVENUE = C("l_extendedprice") * (1 - C("l_discount"))
+
+
+def _revenue():
+    return C("l_extendedprice") * (1 - C("l_discount"))
 
 
 # scans and projection
 @query("SELECT l_orderkey, l_linenumber, l_quantity, round(l_extendedprice * (1 - l_discount), 4) AS revenue FROM lineitem WHERE l_quantity > 30")
 def scan_project(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_quantity > 30").select("l_orderkey", "l_linenumber", "l_quantity", F.round(REVENUE, 4).alias("revenue"))
+    return table(spark, d, "lineitem").where("l_quantity > 30").select("l_orderkey", "l_linenumber", "l_quantity", F.round(_revenue(), 4).alias("revenue"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate <= TIMESTAMP '1996-12-31'")
@@ -239,7 +242,7 @@ def entity_hop(spark, d) -> DataFrame:
 round(avg(l_quantity), 6) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
 def group_agg(spark, d) -> DataFrame:
     rows = table(spark, d, "lineitem").where(C("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(REVENUE), 2).alias("sum_disc"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.count("*").alias("n"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(_revenue()), 2).alias("sum_disc"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.count("*").alias("n"))
 
 
 @query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) > 12")
