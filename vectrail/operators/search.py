@@ -13,6 +13,7 @@ from ..functions import vector as V
 
 DIGITS = 6
 BLOCK = 2048
+MOST_SLOTS = 4096
 
 
 def ranked(rows: DataFrame, order: list[Column], limit: int | None = 10, offset: int = 0, name: str = "rank") -> DataFrame:
@@ -90,8 +91,11 @@ def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col="vec_id", vecto
                 keep = np.isfinite(best)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, keep.sum(1))), pa.array(r_ids[by][keep]), pa.array(best[keep])], names=["query_id", "neighbor_id", "score"])
     left, right = _blocks(queries, "q", id_col, vector), _blocks(rows, "r", id_col, vector)
-    # every block of the stated queries goes through every block of rows; both are few and large
-    pairs = left.join(right, "dim")
+    # every block of queries goes through every block of rows: blocks of rows are dealt to slots, and queries to all slots
+    slots = max(1, min(MOST_SLOTS, rows.count() // BLOCK))
+    right = right.withColumn("slot", F.pmod(F.xxhash64("r_ids"), F.lit(slots)))
+    left = left.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    pairs = left.join(right, ["dim", "slot"])
     found = pairs.mapInArrow(run, "query_id long, neighbor_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "neighbor_id", "score")
