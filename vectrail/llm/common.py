@@ -31,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of a key that may be broadcast: some tens of MB. Beyond it, callers go another way to the same result.
+MOST_BROADCAST = 500_000
+
+
+def few(keys: DataFrame) -> DataFrame | None:
+    """The distinct keys, marked for broadcast, if there are at most MOST_BROADCAST; keys should be staged."""
+    keys = keys.distinct()
+    return F.broadcast(keys) if keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else None
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

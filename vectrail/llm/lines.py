@@ -1,14 +1,17 @@
 """Fuzzy line deduplication.
 
 A line is its sequence of words, A-Z lower-cased; lines of fewer than MIN_WORDS words are left alone. Equal lines are
-counted by a 128-bit hash. Each distinct line has a 64-bit SimHash of its words. Two values that differ in at most
+counted by a 128-bit hash. Each distinct line has a 64-bit SimHash of its distinct words, so that no word that a line
+repeats outweighs the others. Two values that differ in at most
 DISTANCE bits agree in two of five blocks at least, so values meet in one of ten tables keyed by two blocks; with
 more than MANY values it is three of six blocks, which keeps the tables' chance meetings few. Values that are close
 name pairs of lines, whose edit similarity over words (1 - distance / longer length) is verified. Of each connected
 group the first occurrence stays, by id and line number, and all others are removed from their texts.
 
 Only groups are wanted, so lines of one SimHash meet its first line, and first lines meet those of close values; what
-is not yet in one group is gone through again, pair by pair. No bucket is capped.
+is not yet in one group is gone through again, pair by pair. Only pairs are verified that two exact bounds allow to be
+similar: the lengths, and the cells of a fixed number that hold an odd number of words of just one line, as each edit
+changes two of them at most. No bucket is capped.
 
 Defined results: null text has no lines and stays null; lines are parted by a line feed, and a text keeps the order and
 the form of the lines that stay; a null id sorts first; of rows with equal id and text one has its lines and the others
@@ -24,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, table
+from .common import WORD, few, staged, table
 from .components import components
 from .shingles import BASE, chunks, mix, words_of
 
 MIN_WORDS = 5
 DISTANCE = 3
 PERCENT = 80
+CELLS = 128
 #: Distinct values beyond which three of six blocks are joined on.
 MANY = 1 << 28
 
@@ -46,6 +50,21 @@ def simhash(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
     return out
 
 
+def distinct(hashes: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which words are the first of their kind in their line; ``line`` is the line's number for each word."""
+    key = hashes ^ mix(line.astype(np.uint64) + np.uint64(1))
+    by = np.argsort(key, kind="stable")
+    out = np.ones(len(key), bool)
+    out[by[1:][key[by[1:]] == key[by[:-1]]]] = False
+    return out
+
+
+def parities(hashes: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+    """Per line, which of CELLS cells hold an odd number of its words, as longs of 64 bits."""
+    odd = np.bincount(line * CELLS + (hashes >> np.uint64(20)).astype(np.int64) % CELLS, minlength=lines * CELLS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(lines, CELLS), axis=1).view("<i8")
+
+
 def line_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each line's sequence of words."""
     found = []
@@ -61,9 +80,15 @@ def line_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tupl
     return found[0], found[1]
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """``doc_id, th, text``: the id, a hash of the text, and the text; ``k, none``: the id without null, and whether it is."""
+    i, t = F.col(id_col).cast("long"), F.col(text_col)
+    return docs.select(i.alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"), F.coalesce(i, F.lit(0)).alias("k"), i.isNull().alias("none"), *more)
+
+
 def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, th, line, h1, h2, sim`` for every line of MIN_WORDS words or more; lines count from 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    """``doc_id, th, line, h1, h2, sim, n, odd`` for every line of MIN_WORDS words or more; lines count from 0."""
+    rows = _keyed(docs, id_col, text_col).select("doc_id", "th", "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, begin in chunks(batch.column("text")):
@@ -76,13 +101,22 @@ def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 number = np.arange(len(ends)) - np.searchsorted(opening, begin)[doc]
                 long = np.flatnonzero(last - first >= MIN_WORDS)
                 first, last, doc, number = first[long], last[long], doc[long], number[long]
+                if not len(long):
+                    continue
                 h1, h2 = line_hashes(hashes, first, last)
+                size = last - first
+                line = np.repeat(np.arange(len(long)), size)
+                own = hashes[np.arange(len(line)) + np.repeat(first - (np.cumsum(size) - size), size)]
+                odd = parities(own, line, len(long))
+                once = distinct(own, line)
+                upto = np.concatenate([[0], np.cumsum(np.bincount(line[once], minlength=len(long)))])
+                sim = simhash(own[once], upto[:-1], upto[1:])
                 take = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(number, pa.int64()), *(pa.array(x.view(np.int64)) for x in (h1, h2, simhash(hashes, first, last)))],
-                    names=["doc_id", "th", "line", "h1", "h2", "sim"],
+                    [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(number, pa.int64()), *(pa.array(x.view(np.int64)) for x in (h1, h2, sim)), pa.array(size, pa.int32()), pa.array(list(odd), pa.list_(pa.int64()))],
+                    names=["doc_id", "th", "line", "h1", "h2", "sim", "n", "odd"],
                 )
-    return rows.mapInArrow(run, "doc_id long, th long, line long, h1 long, h2 long, sim long")
+    return rows.mapInArrow(run, "doc_id long, th long, line long, h1 long, h2 long, sim long, n int, odd array<long>")
 
 
 def block_keys(sim, many: bool):
@@ -141,41 +175,48 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _groups(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, component`` of the distinct lines ``id, sim, doc_id, th, line`` that are similar to another."""
-    sims = lines.groupBy("sim").agg(F.min("id").alias("head"), F.count("*").alias("c"))
-    sims = staged(sims)
+    """``id, component`` of the distinct lines ``id, sim, words, odd, doc_id, th, line`` that are similar to another."""
+    sims = staged(lines.groupBy("sim").agg(F.min("id").alias("head"), F.count("*").alias("c")))
     keyed = sims.select("sim", F.explode(block_keys(F.col("sim"), sims.count() > MANY)).alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
     near = x.join(y, F.expr(f"x.key = y.key and x.sim < y.sim and bit_count(x.sim ^ y.sim) <= {DISTANCE}"))
     near = staged(near.select(F.col("x.sim").alias("s"), F.col("y.sim").alias("t")).distinct())
-    heads = lambda name: sims.select(F.col("sim").alias(name), F.col("head").alias("a" if name == "s" else "b"))
     several = sims.where("c > 1").select("sim", "head")
-    same = lines.join(several, "sim")
-    pairs = near.join(heads("s"), "s").join(heads("t"), "t").select("a", "b").union(same.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
     met = near.select(F.col("s").alias("sim")).union(near.select("t")).union(several.select("sim")).distinct()
-    wanted = staged(lines.join(met, "sim").select("id", "sim", "doc_id", "th", "line"))
+    wanted = staged(lines.join(met, "sim").select("id", "sim", "words", "odd", "doc_id", "th", "line"))
+    side = lambda name, sim, rows: rows.select(F.col("id").alias(name), F.col("sim").alias(sim), F.col("words").alias(f"n{name}"), F.col("odd").alias(f"o{name}"), "*")
+    apart = " + ".join(f"bit_count(oa[{i}] ^ ob[{i}])" for i in range(CELLS // 64))
+    bound = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and 100 * ({apart}) <= {2 * (100 - PERCENT)} * greatest(na, nb)")
+    plain = wanted.select("id", "sim", "words", "odd")
+    heads = plain.join(sims.select(F.col("head").alias("id")), "id", "left_semi")
+    left, right = (side(n, s, heads).select(n, s, f"n{n}", f"o{n}") for n, s in (("a", "s"), ("b", "t")))
+    pairs = near.join(left, "s").join(right, "t").where(bound).select("a", "b")
+    others = side("b", "s", plain.join(sims.select(F.col("head").alias("id")), "id", "left_anti")).select("b", "s", "nb", "ob")
+    pairs = staged(pairs.union(left.join(others, "s").where(bound).select("a", "b")))
     texts = staged(_texts(wanted, docs, id_col, text_col))
     links = staged(_verified(pairs, texts))
-    found = staged(components(links))
-    now = _now(wanted, found)
+    now = _now(wanted, staged(components(links)))
     # pairs within a value, and between close values, that are not yet in one group
     both = near.select("s", "t").union(several.select(F.col("sim").alias("s"), F.col("sim").alias("t")))
-    left = now.select(F.col("id").alias("a"), F.col("sim").alias("s"), F.col("component").alias("ca"))
-    right = now.select(F.col("id").alias("b"), F.col("sim").alias("t"), F.col("component").alias("cb"))
-    rest = both.join(left, "s").join(right, "t").where("ca <> cb and (s <> t or a < b)").select("a", "b").distinct()
+    left, right = (side(n, s, now).select(n, s, f"n{n}", f"o{n}", F.col("component").alias(f"c{n}")) for n, s in (("a", "s"), ("b", "t")))
+    rest = both.join(left, "s").join(right, ["t"]).where(F.expr("ca <> cb and (s <> t or a < b)") & bound).select("a", "b")
     more = staged(_verified(rest.join(pairs, ["a", "b"], "left_anti"), texts))
     return components(links.union(more)).select(F.col("node").alias("id"), "component")
 
 
 def _now(wanted: DataFrame, found: DataFrame) -> DataFrame:
-    return wanted.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sim", F.coalesce("component", "id").alias("component"))
+    return wanted.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sim", "words", "odd", F.coalesce("component", "id").alias("component"))
 
 
 def _texts(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, words``: words of the lines, A-Z lower-cased, parted by blanks."""
-    per_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "id")).alias("which"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    rows = rows.alias("d").join(per_doc.alias("w"), F.expr("d.th = w.th and d.doc_id <=> w.doc_id"))
+    key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.col("th")]
+    per_doc = wanted.groupBy(*key).agg(F.collect_list(F.struct("line", "id")).alias("which"))
+    rows = _keyed(docs, id_col, text_col)
+    known = few(wanted.select("th"))
+    if known is not None:  # only their texts need to be dealt
+        rows = rows.join(known, "th", "left_semi")
+    rows = rows.join(per_doc, ["k", "none", "th"])
     rows = rows.select(F.split("text", "\n").alias("lines"), F.explode("which").alias("x")).select("x.id", F.get("lines", F.col("x.line").cast("int")).alias("t"))
     plain = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return rows.dropDuplicates(["id"]).select("id", F.array_join(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), " ").alias("words"))
@@ -185,26 +226,34 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     """Per row of ``docs``: struct ``kept`` of its columns, ``text`` without removed lines, ``n_lines, n_removed``."""
     every = staged(occurrences(docs, id_col, text_col))
     place = F.struct("doc_id", "th", "line")
-    lines = every.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("sim").alias("sim"))
-    lines = staged(lines.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "at", "n", "sim"))
-    groups = staged(_groups(lines.select("id", "sim", "at.doc_id", "at.th", "at.line"), docs, id_col, text_col))
+    lines = every.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("n").alias("words"), F.first("odd").alias("odd"))
+    lines = staged(lines.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "at", "n", "sim", "words", "odd"))
+    groups = staged(_groups(lines.select("id", "sim", "words", "odd", "at.doc_id", "at.th", "at.line"), docs, id_col, text_col))
     grouped = lines.select("id", "h1", "h2", "at", "n").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = grouped.groupBy("component").agg(F.min("at").alias("first"), F.sum("n").alias("of")).where("of > 1")
     repeated = staged(grouped.join(first, "component").select("h1", "h2", "first"))
+    key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.col("th")]
     gone = every.join(repeated, ["h1", "h2"]).where("not (struct(doc_id, th, line) <=> first)")
-    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone"))
-    worded = every.groupBy("doc_id", "th").agg(F.collect_set("line").alias("all"))
-    rows = docs.select(F.struct(*docs.columns).alias("kept"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    copy = Window.partitionBy("d.doc_id", "d.th").orderBy(F.lit(0))
-    both = worded.alias("v").join(gone.alias("g"), F.expr("v.th = g.th and v.doc_id <=> g.doc_id"), "left").select("v.doc_id", "v.th", "all", "gone")
-    rows = rows.alias("d").join(both.alias("b"), F.expr("d.th = b.th and d.doc_id <=> b.doc_id"), "left")
-    rows = rows.select("kept", "text", F.row_number().over(copy).alias("i"), "all", "gone")
-    drop = F.coalesce(F.when(F.col("i") > 1, F.col("all")).otherwise(F.col("gone")), F.array().cast("array<bigint>"))
+    gone = gone.groupBy(*key).agg(F.collect_set("line").alias("gone"))
+    rows = _keyed(docs, id_col, text_col, F.struct(*docs.columns).alias("kept"))
+    copies = rows.groupBy("k", "none", "th").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    worded = every.select(*key, "line").join(copies, ["k", "none", "th"], "left_semi").groupBy("k", "none", "th").agg(F.collect_set("line").alias("all"))
+    drops = staged(gone.join(worded, ["k", "none", "th"], "full"))
     lines_of = F.split("text", "\n")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of)).cast("long").alias("n_lines")
+    known = few(drops.select("th"))
+    touched, untouched = rows, None
+    if known is not None:  # only texts that lose lines need to be dealt
+        touched = rows.join(known, "th", "left_semi")
+        untouched = rows.join(known, "th", "left_anti").select("kept", "text", n_lines, F.lit(0).cast("long").alias("n_removed"))
+    copy = Window.partitionBy("k", "none", "th").orderBy(F.lit(0))
+    touched = touched.join(drops, ["k", "none", "th"], "left").withColumn("i", F.row_number().over(copy))
+    drop = F.coalesce(F.when(F.col("i") > 1, F.col("all")).otherwise(F.col("gone")), F.array().cast("array<bigint>"))
     left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("lines") - F.lit(1).cast("long")), F.col("drop"))
     stay = F.array_join(F.transform(left, lambda i: F.get("lines", i.cast("int"))), "\n")
-    rows = rows.withColumn("drop", drop).withColumn("lines", lines_of)
-    return rows.select("kept", F.when(F.size("drop") > 0, stay).otherwise(F.col("text")).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of)).cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_removed"))
+    touched = touched.withColumn("drop", drop).withColumn("lines", lines_of)
+    touched = touched.select("kept", F.when(F.size("drop") > 0, stay).otherwise(F.col("text")).alias("text"), n_lines, F.size("drop").cast("long").alias("n_removed"))
+    return touched if untouched is None else touched.unionByName(untouched)
 
 
 def thinned(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
