@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 #: Texts that are handled at once, in bytes.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
