@@ -40,9 +40,8 @@ ANCHOR = 16
 SPAN = LENGTH - ANCHOR + 1
 CHUNK_BYTES = 1 << 20
 SEGMENT = 1 << 18
-BUCKET_BYTES = 32 << 20
-SHARD_BYTES = 16 << 20
-LANES = 8192
+BUCKET_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 NEVER, ALWAYS = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
@@ -95,7 +94,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = np.zeros(n + LENGTH, np.uint64)
     for i in range(8):
         words = (words << np.uint64(8)) | padded[i : i + n + LENGTH]
-    order = np.argsort(words[:n], kind="stable")
+    order = np.argsort(words[:n])
     rank = np.zeros(n + LENGTH, np.uint64)
     def ranked(index: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Give the positions at ``index`` the first index of their group; returns where groups of several are."""
@@ -110,32 +109,34 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         at = order[unsorted]
         keys = (rank[at] << np.uint64(32)) | rank[at + step]
-        by = np.argsort(keys, kind="stable")
+        by = np.argsort(keys)
         order[unsorted] = at[by]
         unsorted = ranked(unsorted, keys[by])
     return order, words
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Bytes (LENGTH at most) that each entry of the order shares with the one before it, by Kasai's rule in lanes:
-    along the text, the common prefix falls by one at most. After a full match the rule says nothing here, as entries
-    that agree in LENGTH bytes stand in any order; then the comparison starts anew."""
-    n = len(order)
-    if not n:
-        return np.zeros(0, np.int64)
-    before = np.full(n, -1)
+def common_prefixes(text: np.ndarray, order: np.ndarray, words: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bytes (LENGTH at most) that each start in the order shares with the one before it, by Kasai's rule: from one start
+    to the next the common prefix falls by one at most. The starts of each snippet (``counts`` from ``begin`` on) are a
+    lane, and all lanes take a step at a time. The rule says nothing after a full match, as starts that agree in LENGTH
+    bytes stand in any order, nor where the other snippet ends; then the comparison starts anew."""
+    n = len(text)
+    before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    found = np.zeros(n, np.int64)
+    inside = np.zeros(n + 1, bool)
+    inside[order] = True
+    found = np.zeros(n, np.int8)
     padded = np.concatenate([text, np.zeros(2 * LENGTH, np.uint8)])
-    lanes = min(LANES, n)
-    block = -(-n // lanes)
-    firsts = np.arange(0, n, block)
-    h = np.zeros(len(firsts), np.int64)
-    for t in range(block):
-        i = firsts + t
-        live = np.flatnonzero(i < n)
-        i, j = i[live], before[i[live]]
-        g = np.where((j < 0) | (h[live] >= LENGTH), 0, np.maximum(h[live] - 1, 0))
+    lanes, carried = np.argsort(-counts, kind="stable"), np.zeros(len(counts), np.int64)
+    for t in range(int(counts.max(initial=0))):
+        lanes = lanes[: int(np.searchsorted(-counts[lanes], -t))]
+        i = begin[lanes] + t
+        j = before[i]
+        g = carried[: len(lanes)]
+        if t:
+            last = before[i - 1]
+            g = np.where((last >= 0) & inside[last + 1] & (g < LENGTH), np.maximum(g - 1, 0), 0)
+        g = np.where(j < 0, 0, g)
         todo = np.flatnonzero((j >= 0) & (g <= LENGTH - 8))
         while len(todo):
             todo = todo[words[i[todo] + g[todo]] == words[j[todo] + g[todo]]]
@@ -146,7 +147,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, words: np.ndarray) -> n
             todo = todo[padded[i[todo] + g[todo]] == padded[j[todo] + g[todo]]]
             g[todo] += 1
             todo = todo[g[todo] < LENGTH]
-        found[i] = h[live] = g
+        found[i] = g
+        carried = g
     return found[order]
 
 
@@ -163,9 +165,8 @@ class Shard:
         starts = np.arange(len(owner)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts) + self.begin[owner]
         valid[starts] = True
         order, self.words = suffix_array(self.text)
-        group = np.cumsum(common_prefixes(self.text, order, self.words) < LENGTH)
-        keep = valid[order]
-        self.order, group = order[keep], group[keep]
+        self.order = order[valid[order]]
+        group = np.cumsum(common_prefixes(self.text, self.order, self.words, self.begin, self.counts) < LENGTH)
         at = np.zeros(len(self.text), np.int64)
         at[starts] = owner
         self.first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
@@ -234,7 +235,8 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def row() -> pa.RecordBatch:
             known = np.array([i is not None for i in ids])
             numbers = np.array([i or 0 for i in ids], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (numbers.tobytes(), known.tobytes(), np.cumsum([len(t) for t in texts]).astype(np.int64).tobytes(), b"".join(texts))], names=["ids", "known", "ends", "data"])
+            columns = [pa.array([x], pa.binary()) for x in (numbers.tobytes(), known.tobytes(), np.cumsum([len(t) for t in texts]).astype(np.int64).tobytes(), _packed(b"".join(texts)))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([size], pa.int64())], names=["ids", "known", "ends", "data", "size"])
         for batch in batches:
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 t = (t or "").encode()
@@ -247,11 +249,24 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if ids:
             yield row()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return staged(rows.mapInArrow(run, "ids binary, known binary, ends binary, data binary").withColumn("chunk", F.monotonically_increasing_id()))
+    return staged(rows.mapInArrow(run, "ids binary, known binary, ends binary, data binary, size long").withColumn("chunk", F.monotonically_increasing_id()))
+
+
+def _packed(data: bytes) -> bytes:
+    """Compressed, as texts are moved several times."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _whole(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool), np.frombuffer(row["ends"], np.int64), np.frombuffer(row["data"], np.uint8)
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool), np.frombuffer(row["ends"], np.int64), np.frombuffer(_whole(row["data"]), np.uint8)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -269,7 +284,7 @@ def _record(schema: str, values: list[list]) -> pa.RecordBatch:
 def repeated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``spans`` (starts and ends of removed bytes) per row."""
     chunks = _chunked(docs, id_col, text_col)
-    total = chunks.agg(F.sum(F.length("data"))).first()[0] or 0
+    total = chunks.agg(F.sum("size")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,8 +308,9 @@ def repeated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         plain = [p & ~np.uint64(1) for p in parts]
         names, counts = np.unique(np.concatenate(plain), return_counts=True)
         names = np.union1d(names[counts > 1], np.concatenate([q[(p & np.uint64(1)) > 0] for p, q in zip(parts, plain, strict=True)]))
-        back = [q[np.isin(q, names, assume_unique=False)] for q in plain]
-        return pd.DataFrame({"chunk": rows["chunk"], "shared": [np.unique(x).tobytes() for x in back]})
+        names = np.append(names, ~np.uint64(0))  # found by no anchor, as those are even
+        back = [q[names[np.searchsorted(names[:-1], q)] == q] for q in plain]
+        return pd.DataFrame({"chunk": rows["chunk"], "shared": [x.tobytes() for x in back]})
 
     sent = chunks.select("chunk", "ids", "known", "ends", "data").mapInArrow(send, "bucket long, chunk long, anchors binary")
     known = staged(sent.groupBy("bucket").applyInPandas(shared, "chunk long, shared binary").where(F.length("shared") > 0))
@@ -324,10 +340,10 @@ def repeated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             texts = list(seen)
             to = ((hashes[where] >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(to, kind="stable")
-            out = [[-1], [row["chunk"]], [number.astype(np.int32).tobytes()], [first.tobytes()], [doc.astype(np.int32).tobytes()], [b""], [b""]]
+            out = [[-1], [row["chunk"]], [_packed(number.astype(np.int32).tobytes())], [_packed(first.tobytes())], [_packed(doc.astype(np.int32).tobytes())], [b""], [b""]]
             for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []:
                 own = [texts[i] for i in part]
-                for column, value in zip(out, (int(to[part[0]]), row["chunk"], part.astype(np.int32).tobytes(), np.array([len(x) for x in own], np.int64).tobytes(), least[part].tobytes(), most[part].tobytes(), b"".join(own)), strict=True):
+                for column, value in zip(out, (int(to[part[0]]), row["chunk"], *map(_packed, (part.astype(np.int32).tobytes(), np.array([len(x) for x in own], np.int64).tobytes(), least[part].tobytes(), most[part].tobytes(), b"".join(own)))), strict=True):
                     column.append(value)
             yield _record(cut_schema, out)
 
@@ -338,8 +354,8 @@ def repeated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         ids: list[int] = []
         uses = []
         for sizes, least, texts in zip(rows["sizes"], rows["least"], rows["texts"], strict=True):
-            at, use = 0, []
-            for n, i in zip(np.frombuffer(sizes, np.int64).tolist(), np.frombuffer(least, np.int64).tolist(), strict=True):
+            at, use, texts = 0, [], _whole(texts)
+            for n, i in zip(np.frombuffer(_whole(sizes), np.int64).tolist(), np.frombuffer(_whole(least), np.int64).tolist(), strict=True):
                 k = seen.setdefault(texts[at : at + n], len(ids))
                 if k == len(ids):
                     ids.append(i)
@@ -362,13 +378,13 @@ def repeated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         for chunk, numbers, most, use in zip(rows["chunk"], rows["numbers"], rows["most"], uses, strict=True):
             times = runs[use]
             pick = np.repeat(first_run[use] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            number = np.repeat(np.frombuffer(numbers, np.int32), times)
-            useful = smallest[run[pick]] < np.repeat(np.frombuffer(most, np.int64), times)
+            number = np.repeat(np.frombuffer(_whole(numbers), np.int32), times)
+            useful = smallest[run[pick]] < np.repeat(np.frombuffer(_whole(most), np.int64), times)
             pick, number = pick[useful], number[useful]
             if len(pick):
                 base = starts[of[pick]]
                 for name, value in (("number", number), ("begin", (run[pick] - base).astype(np.int32)), ("end", (run_end[pick] - base).astype(np.int32)), ("id", smallest[run[pick]])):
-                    out[name].append(value.tobytes())
+                    out[name].append(_packed(value.tobytes()))
                 out["chunk"].append(chunk)
         return pd.DataFrame(out)
 
@@ -383,11 +399,11 @@ def repeated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             ids, known_ids, ends, data = _unpack(row)
             marks = np.zeros(len(data) + 1, np.int32)
             if row["answers"]:
-                read = lambda name, kind: np.concatenate([np.frombuffer(x[name], kind) for x in row["answers"]])
+                read = lambda name, kind: np.concatenate([np.frombuffer(_whole(x[name]), kind) for x in row["answers"]])
                 number, begin, end, smallest = read("number", np.int32), read("begin", np.int32), read("end", np.int32), read("id", np.int64)
                 by = np.argsort(number, kind="stable")
                 number, begin, end, smallest = number[by], begin[by], end[by], smallest[by]
-                used, first, doc = np.frombuffer(row["u_number"], np.int32), np.frombuffer(row["u_first"], np.int64), np.frombuffer(row["u_doc"], np.int32)
+                used, first, doc = np.frombuffer(_whole(row["u_number"]), np.int32), np.frombuffer(_whole(row["u_first"]), np.int64), np.frombuffer(_whole(row["u_doc"]), np.int32)
                 low = np.searchsorted(number, used)
                 times = np.searchsorted(number, used, "right") - low
                 pick = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
@@ -417,4 +433,17 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_suffixes": op5_suffixes}
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_suffixes": f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, o, substr(h, (2 * o + 1)::BIGINT, {2 * (512 + LENGTH - 1)}) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 512)) AS o FROM d)),
+w AS (SELECT doc_id, o + p AS p, substr(h, (2 * p + 1)::BIGINT, {2 * LENGTH}) AS s FROM (SELECT doc_id, o, h, unnest(range(0, least(512, len(h) // 2 - {LENGTH - 1}))) AS p FROM b)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {LENGTH} THEN 0 ELSE 1 END AS fresh FROM r)),
+i AS (SELECT doc_id, span, min(p) AS a, max(p) + {LENGTH} AS b FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM i),
+t AS (SELECT d.doc_id, sum(b - a)::BIGINT AS gone, count(*) AS spans, string_agg(substr(h, (2 * z + 1)::BIGINT, (2 * (a - z))::BIGINT), '' ORDER BY a) AS head, max(b) AS last FROM k JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id""",
+}
