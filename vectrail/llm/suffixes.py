@@ -23,6 +23,7 @@ affect each other; texts under LENGTH bytes are kept; an empty table gives an em
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -40,8 +41,8 @@ ANCHOR = 16
 SPAN = LENGTH - ANCHOR + 1
 CHUNK_BYTES = 1 << 20
 SEGMENT = 1 << 18
-BUCKET_BYTES = 8 << 20
-SHARD_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
+SHARD_BYTES = 6 << 20
 NEVER, ALWAYS = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
@@ -254,15 +255,18 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _packed(data: bytes) -> bytes:
     """Compressed, as texts are moved several times."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return _codec()[0].compress(data)
 
 
 def _whole(data: bytes) -> bytes:
+    return _codec()[1].decompress(data)
+
+
+@functools.cache
+def _codec() -> tuple:
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(data)
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
