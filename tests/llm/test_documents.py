@@ -328,6 +328,32 @@ def test_lines_edges(spark, edge_docs, no_docs):
     assert len(twice) == 2 and all(r.n_removed == 1 and r.text == "" for r in twice)  # document 1 has the line
 
 
+def test_lines_link_at_any_simhash_distance(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    rows = []
+    for n in (5, 6, 8, 9, 10, 12, 15, 20, 25, 31, 50, 104):
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            rows.append(" ".join(base))
+            for edits in (n // 5, n // 5 + 1):
+                text = list(base)
+                for _ in range(edits):
+                    at = rng.randrange(len(text))
+                    text[at : at + 1] = rng.choice([[word()], [word(), text[at]], []])
+                rows.append(" ".join(text))
+    rows.append("a a a a a a a a b a")
+    rows.append("a a a a a a a a a a a")
+    kinds = [x.split() for x in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * (max(len(kinds[i]), len(kinds[j])) - distance(kinds[i], kinds[j])) >= 80 * max(len(kinds[i]), len(kinds[j]))]
+    group = groups(len(rows), [(i, j) for i, j in links if min(len(kinds[i]), len(kinds[j])) >= lines.MIN_WORDS])
+    assert len(links) > 48
+    first = {g: min(i for i in range(len(rows)) if group[i] == g) for g in set(group)}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id for r in lines.deduplicated(docs).where("n_removed = 0").select("kept.doc_id").collect()}
+    assert found == set(first.values())
+
+
 # packing
 def test_best_fit():
     rng = random.Random(3)

@@ -1,17 +1,19 @@
 """Fuzzy line deduplication.
 
 A line is its sequence of words, A-Z lower-cased; lines of fewer than MIN_WORDS words are left alone. Equal lines are
-counted by a 128-bit hash. Each distinct line has a 64-bit SimHash of its distinct words, so that no word that a line
-repeats outweighs the others. Two values that differ in at most
-DISTANCE bits agree in two of five blocks at least, so values meet in one of ten tables keyed by two blocks; with
-more than MANY values it is three of six blocks, which keeps the tables' chance meetings few. Values that are close
-name pairs of lines, whose edit similarity over words (1 - distance / longer length) is verified. Of each connected
-group the first occurrence stays, by id and line number, and all others are removed from their texts.
-
-Only groups are wanted, so lines of one SimHash meet its first line, and first lines meet those of close values; what
-is not yet in one group is gone through again, pair by pair. Only pairs are verified that two exact bounds allow to be
-similar: the lengths, and the cells of a fixed number that hold an odd number of words of just one line, as each edit
-changes two of them at most. No bucket is capped.
+counted by a 128-bit hash. Two lines are linked if their edit similarity over words (1 - distance / longer length) is
+0.8 or more. Of each connected group the first occurrence stays, by id and line number, and all others are removed from
+their texts.
+
+Candidates only propose links and miss none: a line of n words shows its rarest pairs of neighbouring words, some
+0.4 n + 1 of them, in one order for all lines (by the commonness of the words, then by hash). An edit destroys two pairs
+at most, so lines that are similar have one of the shown ones in common. Each line also has a 64-bit SimHash of its
+distinct words, and lines of equal SimHash are proposed too, which joins copies with moved words early.
+
+Only groups are wanted, so lines with a common key meet two of them first; what is not yet in one group is gone through
+again, pair by pair. Only pairs are verified that two exact bounds allow to be similar: the lengths, and the cells of a
+fixed number that hold an odd number of words of just one line, as each edit changes two of them at most. No bucket is
+capped.
 
 Defined results: null text has no lines and stays null; lines are parted by a line feed, and a text keeps the order and
 the form of the lines that stay; a null id sorts first; of rows with equal id and text one has its lines and the others
@@ -32,11 +34,11 @@ from .components import components
 from .shingles import BASE, chunks, mix, words_of
 
 MIN_WORDS = 5
-DISTANCE = 3
 PERCENT = 80
 CELLS = 128
-#: Distinct values beyond which three of six blocks are joined on.
-MANY = 1 << 28
+WORD_CELLS = 1 << 18
+#: Line hashes that a task remembers, so that copies aren't sent again.
+MOST_MET = 1 << 20
 
 
 def simhash(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -119,14 +121,72 @@ def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, th long, line long, h1 long, h2 long, sim long, n int, odd array<long>")
 
 
-def block_keys(sim, many: bool):
-    """Array of keys: every choice of 2 of 5 blocks, or of 3 of 6, each with its number."""
-    from itertools import combinations
+def commonness(docs: DataFrame, text_col="text") -> np.ndarray:
+    """How often words fall in each of WORD_CELLS cells, by one in eight texts; it only steers the order of word pairs."""
+    rows = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(WORD_CELLS, np.int64)
+        for batch in batches:
+            for _, _, data, _ in chunks(batch.column("text")):
+                total += np.bincount((words_of(data)[1] % np.uint64(WORD_CELLS)).astype(np.int64), minlength=WORD_CELLS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+    out = np.ones(WORD_CELLS, np.float32)
+    cells = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # WORD_CELLS rows at most
+    out[cells["cell"].to_numpy(np.int64)] += cells["n"].to_numpy(np.float32)
+    return out
+
+
+def needed(n: np.ndarray) -> np.ndarray:
+    """How many of its rarest word pairs a line of ``n`` words must show to meet every similar line.
+
+    Lines of n and m >= n words with d = m * (100 - PERCENT) // 100 edits share m - 1 - 2 d of their word pairs at least,
+    so n - 1 - (m - 1 - 2 d) + 1 of the shorter one's suffice, and as many of the longer one's for m = n.
+    """
+    step = 100 // (100 - PERCENT)
+    up = -(-n // step) * step  # of the longer lines, the least for which d grows
+    return np.maximum(2 * (n // step) + 1, np.where(PERCENT * up <= 100 * n, n - up + 2 * (up // step) + 1, 0))
+
 
-    count, of = (6, 3) if many else (5, 2)
-    cuts = [64 * i // count for i in range(count + 1)]
-    block = [F.shiftrightunsigned(sim, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(count)]
-    return F.array(*(F.xxhash64(F.lit(n), *(block[i] for i in chosen)) for n, chosen in enumerate(combinations(range(count), of))))
+def rare_pairs(docs: DataFrame, text_col="text") -> DataFrame:
+    """``key, h1``: the rarest pairs of neighbouring words of each line; a pair that a line repeats has a key each time."""
+    often = commonness(docs, text_col)
+    least = 100 // (100 - PERCENT)  # shorter lines are similar only if equal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set = set()
+        for batch in batches:
+            for _, _, data, _ in chunks(batch.column("text")):
+                starts, hashes = words_of(data)
+                ends = np.flatnonzero(data == 10)
+                first = np.searchsorted(starts, np.concatenate([[0], ends[:-1] + 1]))
+                last = np.searchsorted(starts, ends)
+                long = np.flatnonzero(last - first >= least)
+                first, last = first[long], last[long]
+                if not len(long):
+                    continue
+                h1, _ = line_hashes(hashes, first, last)
+                if len(met) > MOST_MET:
+                    met.clear()
+                fresh = np.array([not (h in met or met.add(h)) for h in h1.tolist()])  # only spares repeated rows
+                first, last, h1 = first[fresh], last[fresh], h1[fresh]
+                if not len(h1):
+                    continue
+                count = last - first - 1
+                line = np.repeat(np.arange(len(h1)), count)
+                begin = np.cumsum(count) - count
+                at = np.arange(len(line)) + np.repeat(first - begin, count)
+                pair = mix(hashes[at] * np.uint64(BASE) + hashes[at + 1])
+                cell = (hashes % np.uint64(WORD_CELLS)).astype(np.int64)
+                by = np.lexsort((pair, often[cell[at]] * often[cell[at + 1]], line))
+                pair = pair[by]
+                place = np.arange(len(pair))
+                fresh = np.ones(len(pair), bool)
+                fresh[1:] = (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])
+                same = place - np.maximum.accumulate(np.where(fresh, place, 0))
+                take = place - begin[line] < needed(count + 1)[line]
+                key = mix(pair + same.astype(np.uint64) * np.uint64(BASE))[take]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h1[line[take]].view(np.int64))], names=["key", "h1"])
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, h1 long")
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -175,37 +235,34 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _groups(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, component`` of the distinct lines ``id, sim, words, odd, doc_id, th, line`` that are similar to another."""
-    sims = staged(lines.groupBy("sim").agg(F.min("id").alias("head"), F.count("*").alias("c")))
-    keyed = sims.select("sim", F.explode(block_keys(F.col("sim"), sims.count() > MANY)).alias("key"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    near = x.join(y, F.expr(f"x.key = y.key and x.sim < y.sim and bit_count(x.sim ^ y.sim) <= {DISTANCE}"))
-    near = staged(near.select(F.col("x.sim").alias("s"), F.col("y.sim").alias("t")).distinct())
-    several = sims.where("c > 1").select("sim", "head")
-    met = near.select(F.col("s").alias("sim")).union(near.select("t")).union(several.select("sim")).distinct()
-    wanted = staged(lines.join(met, "sim").select("id", "sim", "words", "odd", "doc_id", "th", "line"))
-    side = lambda name, sim, rows: rows.select(F.col("id").alias(name), F.col("sim").alias(sim), F.col("words").alias(f"n{name}"), F.col("odd").alias(f"o{name}"), "*")
+    """``id, component`` of the distinct lines ``id, h1, sim, words, odd, doc_id, th, line`` that are similar to another."""
+    every = Window.partitionBy("key")
+    shown = rare_pairs(docs, text_col).select("key", "h1", F.min("h1").over(every).alias("lo"), F.max("h1").over(every).alias("hi"))
+    shown = staged(shown.where("lo <> hi").distinct())
+    alike = lines.groupBy("sim").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi")
+    ends = shown.select("h1", "lo", "hi").union(lines.join(alike, "sim").select("h1", "lo", "hi"))
+    star = ends.select("h1", F.explode(F.array("lo", "hi")).alias("end")).where("h1 <> end")
+    star = star.select(F.least("h1", "end").alias("ha"), F.greatest("h1", "end").alias("hb")).distinct()
+    side = lambda x: lines.select(F.col("h1").alias(f"h{x}"), F.col("id").alias(x), F.col("words").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
     apart = " + ".join(f"bit_count(oa[{i}] ^ ob[{i}])" for i in range(CELLS // 64))
     bound = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and 100 * ({apart}) <= {2 * (100 - PERCENT)} * greatest(na, nb)")
-    plain = wanted.select("id", "sim", "words", "odd")
-    heads = plain.join(sims.select(F.col("head").alias("id")), "id", "left_semi")
-    left, right = (side(n, s, heads).select(n, s, f"n{n}", f"o{n}") for n, s in (("a", "s"), ("b", "t")))
-    pairs = near.join(left, "s").join(right, "t").where(bound).select("a", "b")
-    others = side("b", "s", plain.join(sims.select(F.col("head").alias("id")), "id", "left_anti")).select("b", "s", "nb", "ob")
-    pairs = staged(pairs.union(left.join(others, "s").where(bound).select("a", "b")))
-    texts = staged(_texts(wanted, docs, id_col, text_col))
-    links = staged(_verified(pairs, texts))
-    now = _now(wanted, staged(components(links)))
-    # pairs within a value, and between close values, that are not yet in one group
-    both = near.select("s", "t").union(several.select(F.col("sim").alias("s"), F.col("sim").alias("t")))
-    left, right = (side(n, s, now).select(n, s, f"n{n}", f"o{n}", F.col("component").alias(f"c{n}")) for n, s in (("a", "s"), ("b", "t")))
-    rest = both.join(left, "s").join(right, ["t"]).where(F.expr("ca <> cb and (s <> t or a < b)") & bound).select("a", "b")
-    more = staged(_verified(rest.join(pairs, ["a", "b"], "left_anti"), texts))
-    return components(links.union(more)).select(F.col("node").alias("id"), "component")
-
-
-def _now(wanted: DataFrame, found: DataFrame) -> DataFrame:
-    return wanted.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sim", "words", "odd", F.coalesce("component", "id").alias("component"))
+    bounded = lambda pairs: pairs.join(side("a"), "ha").join(side("b"), "hb").where(bound).select("a", "b")
+    def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = staged(lines.join(ids, "id", "left_semi").select("id", "doc_id", "th", "line"))
+        return staged(_verified(pairs, staged(_texts(wanted, docs, id_col, text_col))))
+    pairs = staged(bounded(star))
+    links = verified(pairs)
+    found = staged(components(links))
+    # pairs with a common key that are not yet in one group
+    now = lines.select("id", "h1", "words").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("h1", "words", F.coalesce("component", "id").alias("component"))
+    now = staged(shown.select("key", "h1").join(now, "h1"))
+    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    now = staged(now.join(mixed, "key"))
+    x, y = now.alias("x"), now.alias("y")
+    rest = x.join(y, F.expr(f"x.key = y.key and x.h1 < y.h1 and x.component <> y.component and 100 * least(x.words, y.words) >= {PERCENT} * greatest(x.words, y.words)"))
+    rest = staged(bounded(rest.select(F.col("x.h1").alias("ha"), F.col("y.h1").alias("hb")).distinct()).join(pairs, ["a", "b"], "left_anti"))
+    return components(links.union(verified(rest))).select(F.col("node").alias("id"), "component")
 
 
 def _texts(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -228,7 +285,7 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     place = F.struct("doc_id", "th", "line")
     lines = every.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("n").alias("words"), F.first("odd").alias("odd"))
     lines = staged(lines.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "at", "n", "sim", "words", "odd"))
-    groups = staged(_groups(lines.select("id", "sim", "words", "odd", "at.doc_id", "at.th", "at.line"), docs, id_col, text_col))
+    groups = staged(_groups(lines.select("id", "h1", "sim", "words", "odd", "at.doc_id", "at.th", "at.line"), docs, id_col, text_col))
     grouped = lines.select("id", "h1", "h2", "at", "n").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = grouped.groupBy("component").agg(F.min("at").alias("first"), F.sum("n").alias("of")).where("of > 1")
     repeated = staged(grouped.join(first, "component").select("h1", "h2", "first"))
