@@ -328,6 +328,12 @@ def test_lines_edges(spark, edge_docs, no_docs):
     assert len(twice) == 2 and all(r.n_removed == 1 and r.text == "" for r in twice)  # document 1 has the line
 
 
+def test_short_lines_are_removed_if_equal(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved.\nhome\na b c d"), (2, "all  rights reserved.\n\nHOME\na b c e"), (3, "x\n \nhome\nall rights")], "doc_id long, text string")
+    found = {r.doc_id: (r.text, r.n_removed) for r in lines.deduplicated(docs).select("kept.doc_id", "text", "n_removed").collect()}
+    assert found == {1: ("All rights reserved.\nhome\na b c d", 0), 2: ("\na b c e", 2), 3: ("x\n \nall rights", 1)}
+
+
 def test_lines_link_at_any_simhash_distance(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))

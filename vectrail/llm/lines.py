@@ -1,7 +1,7 @@
 """Fuzzy line deduplication.
 
-A line is its sequence of words, A-Z lower-cased; lines of fewer than MIN_WORDS words are left alone. Equal lines are
-counted by a 128-bit hash. Two lines are linked if their edit similarity over words (1 - distance / longer length) is
+A line is its sequence of words, A-Z lower-cased; lines without a word are left alone. Equal lines are counted by a
+128-bit hash; those of fewer than five words are linked only if equal, which is what the similarity below comes to. Two lines are linked if their edit similarity over words (1 - distance / longer length) is
 0.8 or more. Of each connected group the first occurrence stays, by id and line number, and all others are removed from
 their texts.
 
@@ -33,7 +33,7 @@ from .common import WORD, few, staged, table
 from .components import components
 from .shingles import BASE, chunks, mix, words_of
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 PERCENT = 80
 CELLS = 128
 WORD_CELLS = 1 << 18
@@ -285,7 +285,7 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     place = F.struct("doc_id", "th", "line")
     lines = every.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("n").alias("words"), F.first("odd").alias("odd"))
     lines = staged(lines.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "at", "n", "sim", "words", "odd"))
-    groups = staged(_groups(lines.select("id", "h1", "sim", "words", "odd", "at.doc_id", "at.th", "at.line"), docs, id_col, text_col))
+    groups = staged(_groups(lines.where(F.col("words") >= 100 // (100 - PERCENT)).select("id", "h1", "sim", "words", "odd", "at.doc_id", "at.th", "at.line"), docs, id_col, text_col))
     grouped = lines.select("id", "h1", "h2", "at", "n").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = grouped.groupBy("component").agg(F.min("at").alias("first"), F.sum("n").alias("of")).where("of > 1")
     repeated = staged(grouped.join(first, "component").select("h1", "h2", "first"))
