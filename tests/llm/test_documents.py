@@ -141,6 +141,21 @@ def test_neighbours(spark, data):
     assert right >= 0.9 * total and total == 5 * (t.vec_id % 50 == 0).sum()
 
 
+def test_repeated_rows_and_ids_with_several_vectors_hide_none(spark):
+    rng = np.random.default_rng(14)
+    same, six = [1.0, 0.5, 0.0], [0.0, 1.0, 0.5]
+    rows = [(0, same)] * 2 + [(i, same) for i in (10, 20, 30, 40, 50)] + [(60, six)] * 6 + [(i, six) for i in (70, 80, 90, 95, 97)]
+    rows += [(100, [-1.0, 0.001 * i, 0.0]) for i in range(9)] + [(i, [-1.0, *rng.uniform(0.1, 0.3, 2).tolist()]) for i in range(101, 120)]
+    table = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    found = collections.defaultdict(list)
+    for r in neighbours.search(table, table.where("vec_id in (0, 60, 100)"), stop=1.0).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    x = {i: [np.array(v) for j, v in rows if j == i] for i, _ in rows}
+    cosine = lambda a, b: max(u @ v / np.linalg.norm(u) / np.linalg.norm(v) for u in x[a] for v in x[b])
+    for q in (0, 60, 100):
+        assert found[q] == sorted((i for i in x if i != q), key=lambda i: (-round(cosine(q, i), 12), i))[:5]  # noqa: B023
+
+
 def test_chi_square():
     rng = np.random.default_rng(0)
     sample = (rng.normal(size=(200_000, neighbours.PROJECTED)) ** 2).sum(1)

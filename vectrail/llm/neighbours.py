@@ -7,8 +7,8 @@ a kd-tree. A query takes the leaves of the tree in the order of their projected
 with the true distance, until the chi-square test holds: a vector that is nearer than the k-th found so far would,
 with probability STOP, have been met already. Shards' results are merged by rank.
 
-Equal vectors are one entry of the index with their k + 1 smallest ids, so no group of copies is searched, or
-gathered, more than once. The index holds every row; queries come in blocks that are joined with shards by number, and
+Equal vectors are one entry of the index with their k + 1 smallest distinct ids, so no group of copies is searched, or
+gathered, more than once; a query asks for as many more entries as hold its own id. The index holds every row; queries come in blocks that are joined with shards by number, and
 each pair of block and shard is handled on its own in bounded memory.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
@@ -139,7 +139,7 @@ def usable(vector: Column) -> Column:
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, stop: float = STOP) -> DataFrame:
     """``query_id, rank, vec_id, score`` for rows of ``vec_id, vector`` (array of double)."""
     ranked = Window.partitionBy("vector").orderBy("vec_id")
-    some = vectors.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
+    some = vectors.select("vec_id", "vector").distinct().withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
     entries = staged(some.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("vector")))
     counts = entries.groupBy("dim").agg(F.count("*").alias("n"))
     shards = F.ceil(F.col("n") / SHARD_ROWS).cast("int")
@@ -164,9 +164,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, stop: float = STO
                 ids = np.split(np.frombuffer(row["ids"], np.int64), np.cumsum(sizes)[:-1])
                 whole = Index(np.frombuffer(row["flat"]).reshape(-1, row["dim"]), ids)
                 asked_ids, vectors = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_flat"]).reshape(-1, row["dim"])
-                found = whole.nearest(vectors, k + 1, stop)
-                q, at = np.nonzero(found >= 0)
-                entry = found[q, at]
+                held, times_held = np.unique(np.concatenate(ids), return_counts=True)
+                place = np.minimum(np.searchsorted(held, asked_ids), len(held) - 1)
+                own = np.where(held[place] == asked_ids, times_held[place], 1)  # entries that may be the query's own id alone
+                parts = []
+                for extra in np.unique(own):
+                    some = np.flatnonzero(own == extra)
+                    found = whole.nearest(vectors[some], int(min(k + extra, len(ids))), stop)
+                    at, nth = np.nonzero(found >= 0)
+                    parts.append((some[at], found[at, nth]))
+                q, entry = (np.concatenate(x) for x in zip(*parts, strict=True))
                 score = cosine(vectors[q], whole.vectors[entry])
                 times = sizes[entry]
                 owner, other = np.repeat(asked_ids[q], times), np.concatenate([ids[e] for e in entry]) if len(entry) else np.zeros(0, np.int64)
