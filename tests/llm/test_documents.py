@@ -47,6 +47,15 @@ def test_main_text():
     assert extract.main_text("</div></p><article><p>a</b></i>b</article></article>") == "ab"
 
 
+def test_only_script_style_and_comments_swallow_the_rest():
+    for inside in ('<svg-icon name="x"></svg-icon>', "<svg/>", "<button-group></button-group>", "<object-x/>", "<template-x>", "<svg>", "<select>", "<svg><path/></svg>", "<script-x></script-x>"):
+        assert extract.main_text(f"<article>{inside}<p>text</p></article>") == "text", inside
+    for name in ("math", "object", "noscript"):
+        assert extract.main_text(f"<article><p>one <{name}>two</{name}> three</p></article>") == "one two three"
+    assert extract.main_text("<article><p>a</p>" + "<svg>" * 50_000 + "<p>b</p></article>") == "a\nb"
+    assert extract.main_text("<article><p>a</p><style>b<p>c</p>") == "a"
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(60):

@@ -12,7 +12,7 @@ order by a line feed, nothing else dropped. A line break element is white space.
 
 Defined results: null, empty or textless html gives an empty text; unclosed, crossed and stray tags follow the
 usual recovery (a new paragraph ends the open one, an end tag without a start is ignored); an unclosed script,
-style or comment swallows the rest; repeated rows each get a row; an empty table gives an empty result; extra
+style or comment swallows the rest, nothing else does; repeated rows each get a row; an empty table gives an empty result; extra
 columns are ignored. Work is linear in the html apart from the flow over the page's few nodes.
 """
 
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|svg|iframe|select|button|object|math)\b.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)""",
     re.S | re.I,
 )
+#: Elements that are left out with what they hold, if they are closed; an open one is just a tag.
+DROPPED = {x: re.compile(rf"</{x}\s*>", re.I) for x in "title textarea template svg iframe select button".split()}
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr "
@@ -67,7 +69,9 @@ class Page:
         self.open: Counter = Counter()
         self.parts: list[str] = []
         self.linked = self.links = 0
-        for m in TOKEN.finditer(html):
+        at, unclosed = 0, set()
+        while m := TOKEN.search(html, at):
+            at = m.end()
             text = m[5]
             if text is not None:
                 self.parts.append(text)
@@ -75,7 +79,14 @@ class Page:
                     self.linked += len(text)
             elif m[3] is not None:
                 name = m[3].lower()
-                if name == "a":
+                if name in DROPPED:
+                    if not m[2] and not m[4].endswith("/") and name not in unclosed:
+                        end = DROPPED[name].search(html, at)
+                        if end:
+                            at = end.end()
+                        else:
+                            unclosed.add(name)  # nor has a later one an end
+                elif name == "a":
                     self.links = 0 if m[2] else 1
                 elif name in BLOCKS:
                     self.flush()
