@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (the smallest node of each component) for every node of the edges ``a, b`` (long)."""
+    """``node, component`` (the smallest node of each component) for every node of the edges ``a, b`` (long), staged."""
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
@@ -25,10 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = staged(large)
         down = large.groupBy("a").agg(F.min("b").alias("m"))  # b < a throughout
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
-        edges = staged(small.where("a <> b").distinct())
+        old, edges = edges, staged(small.where("a <> b").distinct())
+        release(old, large)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("a")).first()
         if tuple(seen) == before:
             break
         before = tuple(seen)
     own = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return own.union(own.select(F.col("component").alias("node"), "component").distinct())
+    out = staged(own.union(own.select(F.col("component").alias("node"), "component").distinct()))
+    release(edges)
+    return out

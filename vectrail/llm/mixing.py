@@ -23,7 +23,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, table, word_count
+from .common import WORD, quoted, staged, table, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -71,7 +71,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
 def systematic_mix(docs: DataFrame, keep=("doc_id",), id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED) -> DataFrame:
     """Per row of ``docs``: struct ``kept`` of the columns in ``keep``, ``size, source_size, target, copies``."""
     key = F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
-    rows = docs.select(F.struct(*keep).alias("kept"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
+    rows = docs.select(F.struct(*map(quoted, keep)).alias("kept"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
     small = staged(rows.select("source", "size", F.substring("key", 1, 8).alias("key")))
     prefix = F.substring("key", 1, digits_for(small.count())).alias("h")
     per_source = staged(targets(small, weights, share, cap))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, let, staged, table
+from .common import WORD, let, quoted, staged, table
 
 #: The most frequent function words of each language, lower case; a parameter.
 COMMON_WORDS = {
@@ -68,7 +68,7 @@ def measured(docs: DataFrame, keep=("doc_id",), text_col="text", lang_col="lang"
     """Base columns and histograms (``classes`` and ``commons``, arrays of long) of each row of ``docs``."""
     text = F.col("t")
     every = sorted({w for words in COMMON_WORDS.values() for w in words})
-    rows = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(lang_col).alias("lang"))
+    rows = docs.select(F.struct(*map(quoted, keep)).alias("kept"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(lang_col).alias("lang"))
     rows = rows.select("*", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("words"), F.split("t", "\n").alias("lines"), F.length("t").alias("n"))
     rows = rows.withColumns({
         "packed": F.when(F.size("words") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, staged, table
+from .common import let, quoted, staged, table
 
 #: Fixed values of the contract: patterns and least lengths, kinds in their order.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -124,7 +124,7 @@ def limits(tested: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, keep=("doc_id",), text_col="text") -> DataFrame:
     """Struct ``kept`` and one array of ``s, e`` per kind, for each row of ``docs``."""
-    rows = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = docs.select(F.struct(*map(quoted, keep)).alias("kept"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     long = lambda x, least: F.filter(x, lambda m: F.length(m["g"]) >= least)
     place = lambda x: F.transform(x, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))
     t = F.col("t")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import release, staged, table
 from .shingles import BASE, mix
 
 LENGTH = 50
@@ -42,7 +42,7 @@ SPAN = LENGTH - ANCHOR + 1
 CHUNK_BYTES = 1 << 20
 SEGMENT = 1 << 18
 BUCKET_BYTES = 4 << 20
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 NEVER, ALWAYS = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
@@ -176,14 +176,19 @@ class Shard:
         self.owner = owner
 
     def key(self, at: np.ndarray) -> list[np.ndarray]:
-        """The strings that start there, as numbers that compare alike."""
-        return [self.words[at + i] for i in (0, 8, 16, 24, 32, 40, LENGTH - 8)]
+        """The strings that start there without their first 8 bytes, as numbers that compare alike."""
+        return [self.words[at + i] for i in (8, 16, 24, 32, 40, LENGTH - 8)]
 
     def merge(self, other: Shard) -> None:
-        """Binary search for each own string among the other's; both take the smaller id."""
+        """Binary search for each own string among the other's; both take the smaller id. The first 8 bytes are searched
+        for in order, so the other's array is passed over once; the rest only in the stretch that they leave."""
         mine, theirs = self.order[self.first], other.order[other.first]
-        low, high = np.zeros(len(mine), np.int64), np.full(len(mine), len(theirs))
-        own = self.key(mine)
+        front = other.words[theirs]
+        low, high = (np.searchsorted(front, self.words[mine], side) for side in ("left", "right"))
+        asked = np.flatnonzero(low < high)
+        low, high = low[asked], high[asked]
+        last = high - 1
+        own = self.key(mine[asked])
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
@@ -196,14 +201,14 @@ class Shard:
                 same &= a == b[open_]
             low[open_] = np.where(less, middle + 1, low[open_])
             high[open_] = np.where(less, high[open_], middle)
-        at = np.flatnonzero(low < len(theirs))
+        at = np.flatnonzero(low <= last)
         same = np.ones(len(at), bool)
         for a, b in zip(other.key(theirs[low[at]]), own, strict=True):
             same &= a == b[at]
-        at = at[same]
-        least = np.minimum(self.least[at], other.least[low[at]])
+        at, there = asked[at[same]], low[at[same]]
+        least = np.minimum(self.least[at], other.least[there])
         self.least[at] = least
-        other.least[low[at]] = least
+        other.least[there] = least
 
     def per_start(self) -> np.ndarray:
         """The smallest id of the string at each start, in the order of the snippets."""
@@ -317,9 +322,7 @@ def repeated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         return pd.DataFrame({"chunk": rows["chunk"], "shared": [x.tobytes() for x in back]})
 
     sent = chunks.select("chunk", "ids", "known", "ends", "data").mapInArrow(send, "bucket long, chunk long, anchors binary")
-    known = staged(sent.groupBy("bucket").applyInPandas(shared, "chunk long, shared binary").where(F.length("shared") > 0))
-    # a chunk's own anchors at most
-    known = known.groupBy("chunk").agg(F.collect_list("shared").alias("shared"))
+    known = staged(sent.groupBy("bucket").applyInPandas(shared, "chunk long, shared binary").where(F.length("shared") > 0))  # a chunk's own anchors at most
 
     cut_schema = "bucket long, chunk long, numbers binary, sizes binary, least binary, most binary, texts binary"
 
@@ -351,7 +354,7 @@ def repeated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                     column.append(value)
             yield _record(cut_schema, out)
 
-    pieces = staged(chunks.join(known, "chunk").select("chunk", "ids", "known", "ends", "data", "shared").mapInArrow(cut, cut_schema))
+    pieces = staged(chunks.join(known.groupBy("chunk").agg(F.collect_list("shared").alias("shared")), "chunk").select("chunk", "ids", "known", "ends", "data", "shared").mapInArrow(cut, cut_schema))
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         seen: dict[bytes, int] = {}
@@ -393,10 +396,12 @@ def repeated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         return pd.DataFrame(out)
 
     schema = "chunk long, number binary, begin binary, end binary, id binary"
+    release(known)
     answers = staged(pieces.where("bucket >= 0").groupBy("bucket").applyInPandas(judge, schema))
-    # at most one row per bucket for each chunk
+    # only where strings of a chunk lie is still needed; at most one row per bucket for each chunk
+    uses = staged(pieces.where("bucket = -1").select("chunk", F.col("numbers").alias("u_number"), F.col("sizes").alias("u_first"), F.col("least").alias("u_doc")))
+    release(pieces)
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("number", "begin", "end", "id")).alias("answers"))
-    uses = pieces.where("bucket = -1").select("chunk", F.col("numbers").alias("u_number"), F.col("sizes").alias("u_first"), F.col("least").alias("u_doc"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
