@@ -7,6 +7,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,15 +329,7 @@ def test_lines(spark, edge_docs):
             if len(w) >= lines.MIN_WORDS:
                 places.setdefault(w, []).append((i, n))
     kinds = list(places)
-    data = np.frombuffer(("\n".join(" ".join(w) for w in kinds) + "\n").encode(), np.uint8)
-    _, hashes = shingles.words_of(data)
-    sims, at = [], 0
-    for w in kinds:
-        own = np.unique(hashes[at : at + len(w)])
-        at += len(w)
-        sims.append(int(lines.simhash(own, np.array([0]), np.array([len(own)]))[0]))
-    links = [(i, j) for i in range(len(kinds)) for j in range(i) if (sims[i] ^ sims[j]).bit_count() <= 3 and 100 * (max(len(kinds[i]), len(kinds[j])) - distance(kinds[i], kinds[j])) >= 80 * max(len(kinds[i]), len(kinds[j]))] if max(map(len, kinds)) < 1000 else [
-        (i, j) for i in range(len(kinds)) for j in range(i) if (sims[i] ^ sims[j]).bit_count() <= 3 and lines.similar(list(kinds[i]), list(kinds[j]))]
+    links = [(i, j) for i in range(len(kinds)) for j in range(i) if lines.similar(list(kinds[i]), list(kinds[j]))]  # every pair; its distance is tested above
     group = groups(len(kinds), links)
     first = {g: min(p for k, x in enumerate(kinds) if group[k] == g for p in places[x]) for g in set(group)}
     gone = {p for k, x in enumerate(kinds) for p in places[x] if p != first[group[k]]}
@@ -345,6 +339,31 @@ def test_lines(spark, edge_docs):
     assert lines.thinned(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("few", [2, 64])
+def test_lines_of_a_key_meet(monkeypatch, few):
+    """Every two lines with a common key are a pair, or entries of that key that are connected by its ends."""
+    monkeypatch.setattr(lines, "FEW", few)
+    rng = np.random.default_rng(4)
+    parts = [(rng.integers(0, 40, 300).astype(np.uint64) << np.uint64(16) | np.uint64(30 << 8 | lines.ANYWHERE), rng.integers(1, 60, 300).astype(np.uint64)) for _ in range(3)]
+    parts = [tuple(x[np.unique(np.stack(p), axis=1, return_index=True)[1]] for x in p) for p in parts]
+    sent = pa.concat_tables([pa.Table.from_batches([lines._bundled(*p, 1)]) for p in parts])
+    hot = [sent.filter(pa.compute.equal(sent["bucket"], b)) for b in set(sent["bucket"].to_pylist())]
+    rows = [r for x in hot for r in lines._met(x).to_pylist()]
+    pairs = {frozenset((r["lo"], r["hi"])) for r in rows if r["key"] is None}
+    members = collections.defaultdict(set)
+    for keys, h1 in parts:
+        for k, x in zip((keys >> np.uint64(16)).tolist(), h1.tolist(), strict=True):
+            members[k].add(x)
+    for k, found in members.items():
+        own = [r for r in rows if r["key"] == k]
+        if own:
+            ends = [(r["h1"], r[e]) for r in own for e in ("lo", "hi")]
+            assert {r["h1"] for r in own} == found and len(set(np.array(groups(60, ends))[list(found)])) == 1
+        else:
+            assert all(frozenset((a, b)) in pairs for a in found for b in found if a != b)
+    assert bool(pairs) == (few == 64) or few == 2
+
+
 def test_lines_edges(spark, edge_docs, no_docs):
     found = lines.deduplicated(edge_docs)
     assert found.count() == edge_docs.count() and lines.deduplicated(no_docs).count() == 0

@@ -1,19 +1,22 @@
 """Fuzzy line deduplication.
 
 A line is its sequence of words, A-Z lower-cased; lines without a word are left alone. Equal lines are counted by a
-128-bit hash; those of fewer than five words are linked only if equal, which is what the similarity below comes to. Two lines are linked if their edit similarity over words (1 - distance / longer length) is
+128-bit hash; those of fewer than four words are linked only if equal, which is what the similarity below comes to. Two lines are linked if their edit similarity over words (1 - distance / longer length) is
 0.8 or more. Of each connected group the first occurrence stays, by id and line number, and all others are removed from
 their texts.
 
-Candidates only propose links and miss none: a line of n words shows its rarest pairs of neighbouring words, some
-0.4 n + 1 of them, in one order for all lines (by the commonness of the words, then by hash). An edit destroys two pairs
-at most, so lines that are similar have one of the shown ones in common. Each line also has a 64-bit SimHash of its
-distinct words, and lines of equal SimHash are proposed too, which joins copies with moved words early.
+Candidates only propose links and miss none. A line of n words shows its rarest pairs of neighbouring words, some
+0.4 n + 2 of them, in one order for all lines (by the commonness of the words in all documents, then by hash). An edit
+destroys two pairs at most, so lines that are similar have two of the shown ones in common, at places that differ by no
+more than the edits. Lines that share one key of many lines, or two others, are candidates. Each line also has a 64-bit
+SimHash of its distinct words, and lines that agree in one of BLOCKS blocks of it are proposed too, which joins copies with
+moved words early. SimHash alone can't propose all: at a similarity of 0.8 it differs in 13 of 64 bits on average, more than
+blocks that tell lines apart allow.
 
-Only groups are wanted, so lines with a common key meet two of them first; what is not yet in one group is gone through
-again, pair by pair. Only pairs are verified that two exact bounds allow to be similar: the lengths, and the cells of a
-fixed number that hold an odd number of words of just one line, as each edit changes two of them at most. No bucket is
-capped.
+Only groups are wanted, so the lines of a key of many lines meet two of them first; those that are not yet in one group are
+gone through again, pair by pair. Only pairs are verified that two exact bounds allow to be similar: the lengths, and the
+cells of a fixed number that hold an odd number of words of just one line, as each edit changes two of them at most. No
+bucket is capped.
 
 Defined results: null text has no lines and stays null; lines are parted by a line feed, and a text keeps the order and
 the form of the lines that stay; a null id sorts first; of rows with equal id and text one has its lines and the others
@@ -29,14 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, few, staged, table
+from .common import WORD, few, quoted, release, row_of, staged, table
 from .components import components
 from .shingles import BASE, chunks, mix, words_of
 
 MIN_WORDS = 1
 PERCENT = 80
 CELLS = 128
-WORD_CELLS = 1 << 18
+WORD_CELLS = 1 << 16
+#: Lines of fewer words are similar only if equal: a line of four and one of five words may differ by the fifth.
+LEAST_FUZZY = PERCENT // (100 - PERCENT)
+#: Lines that agree in one of so many blocks of their SimHash are candidates: all that differ in fewer bits.
+BLOCKS = 2
+#: Entries of a bucket, entries that a task holds before it sends them, lines of a key that meet each other there and then.
+BUCKET_ENTRIES, MOST_HELD, FEW = 1 << 18, 1 << 20, 64
+#: Codes of a position that says nothing and of a key that is sent in part; steps of the length's scale.
+ANYWHERE, FREQUENT, SCALE = 255, 255, 24
 #: Line hashes that a task remembers, so that copies aren't sent again.
 MOST_MET = 1 << 20
 
@@ -89,12 +100,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, th, line, h1, h2, sim, n, odd`` for every line of MIN_WORDS words or more; lines count from 0."""
+    """``doc_id, th, line, h1, h2, sim, n, odd`` for every line of MIN_WORDS words or more; lines count from 0. Each task
+    adds one row that has only ``words``: how many words fall in each of WORD_CELLS cells, as bytes."""
     rows = _keyed(docs, id_col, text_col).select("doc_id", "th", "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(WORD_CELLS, np.int64)
         for batch in batches:
             for a, b, data, begin in chunks(batch.column("text")):
                 starts, hashes = words_of(data)
+                total += np.bincount((hashes % np.uint64(WORD_CELLS)).astype(np.int64), minlength=WORD_CELLS)
                 ends = np.flatnonzero(data == 10)
                 first = np.searchsorted(starts, np.concatenate([[0], ends[:-1] + 1]))
                 last = np.searchsorted(starts, ends)
@@ -115,25 +129,27 @@ def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 sim = simhash(own[once], upto[:-1], upto[1:])
                 take = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(number, pa.int64()), *(pa.array(x.view(np.int64)) for x in (h1, h2, sim)), pa.array(size, pa.int32()), pa.array(list(odd), pa.list_(pa.int64()))],
-                    names=["doc_id", "th", "line", "h1", "h2", "sim", "n", "odd"],
+                    [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(number, pa.int64()), *(pa.array(x.view(np.int64)) for x in (h1, h2, sim)), pa.array(size, pa.int32()), pa.array(list(odd), pa.list_(pa.int64())), pa.nulls(len(size), pa.binary())],
+                    names=schema.names,
                 )
-    return rows.mapInArrow(run, "doc_id long, th long, line long, h1 long, h2 long, sim long, n int, odd array<long>")
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in schema.types[:-1]), pa.array([total.tobytes()], pa.binary())], names=schema.names)
+    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "th", "line", "h1", "h2", "sim")), ("n", pa.int32()), ("odd", pa.list_(pa.int64())), ("words", pa.binary())])
+    return rows.mapInArrow(run, "doc_id long, th long, line long, h1 long, h2 long, sim long, n int, odd array<long>, words binary")
 
 
-def commonness(docs: DataFrame, text_col="text") -> np.ndarray:
-    """How often words fall in each of WORD_CELLS cells, by one in eight texts; it only steers the order of word pairs."""
-    rows = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0)
+def commonness(every: DataFrame) -> np.ndarray:
+    """How often words fall in each of WORD_CELLS cells, summed over the counts that ``occurrences`` left."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(WORD_CELLS, np.int64)
         for batch in batches:
-            for _, _, data, _ in chunks(batch.column("text")):
-                total += np.bincount((words_of(data)[1] % np.uint64(WORD_CELLS)).astype(np.int64), minlength=WORD_CELLS)
+            for x in batch.column("words").to_pylist():
+                total += np.frombuffer(x, np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
-    out = np.ones(WORD_CELLS, np.float32)
+    out = np.ones(WORD_CELLS)
+    rows = every.where(F.col("words").isNotNull()).select("words")
     cells = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # WORD_CELLS rows at most
-    out[cells["cell"].to_numpy(np.int64)] += cells["n"].to_numpy(np.float32)
+    out[cells["cell"].to_numpy(np.int64)] += cells["n"].to_numpy(np.float64)
     return out
 
 
@@ -148,45 +164,134 @@ def needed(n: np.ndarray) -> np.ndarray:
     return np.maximum(2 * (n // step) + 1, np.where(PERCENT * up <= 100 * n, n - up + 2 * (up // step) + 1, 0))
 
 
-def rare_pairs(docs: DataFrame, text_col="text") -> DataFrame:
-    """``key, h1``: the rarest pairs of neighbouring words of each line; a pair that a line repeats has a key each time."""
-    often = commonness(docs, text_col)
-    least = 100 // (100 - PERCENT)  # shorter lines are similar only if equal
+def length_code(n: np.ndarray) -> np.ndarray:
+    """The length on a scale of SCALE steps for each doubling, under FREQUENT."""
+    return np.minimum(np.log2(n) * SCALE, FREQUENT - 1).astype(np.uint64)
+
+
+#: Codes of the lengths of similar lines differ by this at most.
+CODES_APART = int(np.ceil(SCALE * np.log2(100 / PERCENT)))
+
+
+def _rarest(data: np.ndarray, often: np.ndarray, met: set) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the word pairs that the lines of a buffer show, and the hash of the line of each; lines in ``met`` are left
+    out, and new ones are added to it. A pair that a line repeats has a key each time. A key is 48 bits of hash, 8 of the
+    line's length and 8 of the pair's position."""
+    starts, hashes = words_of(data)
+    ends = np.flatnonzero(data == 10)
+    first = np.searchsorted(starts, np.concatenate([[0], ends[:-1] + 1]))
+    last = np.searchsorted(starts, ends)
+    long = np.flatnonzero(last - first >= LEAST_FUZZY)
+    h1, _ = line_hashes(hashes, first[long], last[long])
+    if len(met) > MOST_MET:
+        met.clear()
+    fresh = np.array([not (h in met or met.add(h)) for h in h1.tolist()], bool)
+    first, last, h1 = first[long][fresh], last[long][fresh], h1[fresh]
+    count = last - first - 1
+    line = np.repeat(np.arange(len(h1)), count)
+    begin = np.cumsum(count) - count
+    at = np.arange(len(line)) + np.repeat(first - begin, count)
+    pair = mix(hashes[at] * np.uint64(BASE) + hashes[at + 1])
+    rare = often[(hashes % np.uint64(WORD_CELLS)).astype(np.int64)]
+    rank = np.minimum(np.log2(rare[at]) + np.log2(rare[at + 1]), 63).astype(np.uint64)
+    if len(h1) < 1 << 20:
+        by = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(38)) | (pair >> np.uint64(26)), kind="stable")
+    else:
+        by = np.lexsort((pair >> np.uint64(26), rank, line))
+    pair, spot = pair[by], np.minimum((at - first[line])[by], ANYWHERE - 1)
+    place = np.arange(len(pair))
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])
+    same = place - np.maximum.accumulate(np.where(new, place, 0))
+    again = same > 0
+    again[:-1] |= again[1:]
+    spot[again] = ANYWHERE
+    take = place - begin[line] < needed(count + 1)[line] + 1
+    key = mix(pair + same.astype(np.uint64) * np.uint64(BASE)) & ~np.uint64(0xFFFF)
+    return (key | length_code(count + 1)[line] << np.uint64(8) | spot.astype(np.uint64))[take], h1[line[take]]
+
+
+def _bundled(keys: np.ndarray, lines: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries by bucket, packed. A key of more than FEW lines sends two of them, marked as frequent; all of its entries go
+    apart, with the two as ``lo`` and ``hi``, so that no bucket gathers a frequent key."""
+    by = np.argsort(keys)
+    keys, lines = keys[by], lines[by]
+    plain = keys >> np.uint64(16)
+    first = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
+    size = np.diff(np.append(first, len(keys)))
+    often = np.repeat(size > FEW, size)
+    end = np.zeros(len(keys), bool)
+    end[first] = end[first + size - 1] = True
+    sent_keys, sent_lines = np.where(often, keys | np.uint64(FREQUENT << 8), keys)[~often | end], lines[~often | end]
+    to = ((sent_keys >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[by])) + 1
+    rows = [(int(to[x[0]]), sent_keys[x].tobytes(), sent_lines[x].tobytes(), None, None) for x in np.split(by, cuts) if len(x)]
+    if often.any():
+        lo, hi = (np.repeat(lines[x], size)[often].tobytes() for x in (first, first + size - 1))
+        rows.append((-1 - int(keys[0] >> np.uint64(34)), keys[often].tobytes(), lines[often].tobytes(), lo, hi))
+    types = [pa.int64(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "keys", "lines", "lo", "hi"])
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """Of a bucket's entries: pairs of lines ``lo, hi`` that a key of at most FEW lines brings together and that length and
+    position allow to be similar; and ``key, h1, lo, hi`` of other keys, along whose ``lo`` and ``hi`` their lines connect."""
+    read = lambda name: np.frombuffer(b"".join(rows.column(name).to_pylist()), np.uint64)
+    out: list[pa.Table] = []
+    def give(lo: np.ndarray, hi: np.ndarray, key: np.ndarray | None = None, h1: np.ndarray | None = None) -> None:
+        signed = lambda x: pa.nulls(len(lo), pa.int64()) if x is None else pa.array(x.view(np.int64))
+        out.append(pa.table({"key": signed(key), "h1": signed(h1), "lo": signed(lo), "hi": signed(hi)}))
+    keys, lines = read("keys"), read("lines")
+    if rows.column("bucket")[0].as_py() < 0:
+        give(read("lo"), read("hi"), keys >> np.uint64(16), lines)
+        return out[0]
+    by = np.lexsort((lines, keys >> np.uint64(16)))
+    keys, lines = keys[by], lines[by]
+    plain = keys >> np.uint64(16)
+    once = np.ones(len(keys), bool)
+    once[1:] = (plain[1:] != plain[:-1]) | (lines[1:] != lines[:-1])
+    marked = (keys >> np.uint64(8)) & np.uint64(255) == np.uint64(FREQUENT)
+    frequent = np.unique(plain[marked])
+    keys, lines, plain = keys[once], lines[once], plain[once]
+    first = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
+    size = np.diff(np.append(first, len(keys)))
+    large = (size > FEW) | np.isin(plain[first], frequent)
+    some = np.repeat(large, size)
+    give(np.repeat(lines[first], size)[some], np.repeat(lines[first + size - 1], size)[some], plain[some], lines[some])
+    code, spot = ((keys >> np.uint64(8)) & np.uint64(255)).astype(np.int16), (keys & np.uint64(255)).astype(np.int16)
+    most = np.exp2((code + 1) / SCALE) * (100 - PERCENT) / 100
+    left = np.repeat(np.where(large, 0, first + size), size)  # end of the entry's group
+    at = np.arange(len(keys))
+    for step in range(1, FEW):
+        at = at[at + step < left[at]]
+        if not len(at):
+            break
+        x, y = at, at + step
+        near = np.abs(code[x] - code[y]) <= CODES_APART + 1
+        near &= (spot[x] == ANYWHERE) | (spot[y] == ANYWHERE) | (np.abs(spot[x] - spot[y]) <= np.maximum(most[x], most[y]))
+        give(lines[x[near]], lines[y[near]])
+    return pa.concat_tables(out)
+
+
+def rare_pairs(docs: DataFrame, often: np.ndarray, entries: int, text_col="text") -> DataFrame:
+    """What ``_met`` finds for the rarest pairs of neighbouring words of each line. ``entries``: how many there are."""
+    buckets = max(8, -(-entries // BUCKET_ENTRIES))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set = set()
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             for _, _, data, _ in chunks(batch.column("text")):
-                starts, hashes = words_of(data)
-                ends = np.flatnonzero(data == 10)
-                first = np.searchsorted(starts, np.concatenate([[0], ends[:-1] + 1]))
-                last = np.searchsorted(starts, ends)
-                long = np.flatnonzero(last - first >= least)
-                first, last = first[long], last[long]
-                if not len(long):
-                    continue
-                h1, _ = line_hashes(hashes, first, last)
-                if len(met) > MOST_MET:
-                    met.clear()
-                fresh = np.array([not (h in met or met.add(h)) for h in h1.tolist()])  # only spares repeated rows
-                first, last, h1 = first[fresh], last[fresh], h1[fresh]
-                if not len(h1):
-                    continue
-                count = last - first - 1
-                line = np.repeat(np.arange(len(h1)), count)
-                begin = np.cumsum(count) - count
-                at = np.arange(len(line)) + np.repeat(first - begin, count)
-                pair = mix(hashes[at] * np.uint64(BASE) + hashes[at + 1])
-                cell = (hashes % np.uint64(WORD_CELLS)).astype(np.int64)
-                by = np.lexsort((pair, often[cell[at]] * often[cell[at + 1]], line))
-                pair = pair[by]
-                place = np.arange(len(pair))
-                fresh = np.ones(len(pair), bool)
-                fresh[1:] = (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])
-                same = place - np.maximum.accumulate(np.where(fresh, place, 0))
-                take = place - begin[line] < needed(count + 1)[line]
-                key = mix(pair + same.astype(np.uint64) * np.uint64(BASE))[take]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h1[line[take]].view(np.int64))], names=["key", "h1"])
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, h1 long")
+                held.append(_rarest(data, often, met))
+                size += len(held[-1][0])
+                if size > MOST_HELD:
+                    yield _bundled(*map(np.concatenate, zip(*held, strict=True)), buckets)
+                    held, size = [], 0
+        if size:
+            yield _bundled(*map(np.concatenate, zip(*held, strict=True)), buckets)
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket long, keys binary, lines binary, lo binary, hi binary")
+    return sent.groupBy("bucket").applyInArrow(_met, "key long, h1 long, lo long, hi long")
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -234,15 +339,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
-def _groups(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, component`` of the distinct lines ``id, h1, sim, words, odd, doc_id, th, line`` that are similar to another."""
-    every = Window.partitionBy("key")
-    shown = rare_pairs(docs, text_col).select("key", "h1", F.min("h1").over(every).alias("lo"), F.max("h1").over(every).alias("hi"))
-    shown = staged(shown.where("lo <> hi").distinct())
-    alike = lines.groupBy("sim").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi")
-    ends = shown.select("h1", "lo", "hi").union(lines.join(alike, "sim").select("h1", "lo", "hi"))
+    entries = lines.agg(F.sum(F.ceil(F.col("words") * 2 * (100 - PERCENT) / 100) + 2)).first()[0] or 0
+    met = staged(rare_pairs(docs, often, entries, text_col))
+    shown = met.where(F.col("key").isNotNull())
+    order = [F.least("lo", "hi").alias("ha"), F.greatest("lo", "hi").alias("hb")]
+    direct = met.where(F.col("key").isNull()).groupBy(*order).agg(F.count("*").alias("c")).where("c > 1").select("ha", "hb")
+    width = 64 // BLOCKS
+    blocks = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("sim", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for i in range(BLOCKS)))
+    blocks = lines.select("h1", F.explode(blocks).alias("block")).select("h1", "block.*")
+    alike = blocks.groupBy("i", "bits").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi")
+    ends = shown.select("h1", "lo", "hi").union(blocks.join(alike, ["i", "bits"]).select("h1", "lo", "hi"))
     star = ends.select("h1", F.explode(F.array("lo", "hi")).alias("end")).where("h1 <> end")
-    star = star.select(F.least("h1", "end").alias("ha"), F.greatest("h1", "end").alias("hb")).distinct()
+    star = star.select(F.least("h1", "end").alias("ha"), F.greatest("h1", "end").alias("hb")).union(direct).distinct()
     side = lambda x: lines.select(F.col("h1").alias(f"h{x}"), F.col("id").alias(x), F.col("words").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
     apart = " + ".join(f"bit_count(oa[{i}] ^ ob[{i}])" for i in range(CELLS // 64))
     bound = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and 100 * ({apart}) <= {2 * (100 - PERCENT)} * greatest(na, nb)")
@@ -250,19 +360,27 @@ def _groups(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         wanted = staged(lines.join(ids, "id", "left_semi").select("id", "doc_id", "th", "line"))
-        return staged(_verified(pairs, staged(_texts(wanted, docs, id_col, text_col))))
+        texts = staged(_texts(wanted, docs, id_col, text_col))
+        out = staged(_verified(pairs, texts))
+        release(wanted, texts)
+        return out
     pairs = staged(bounded(star))
     links = verified(pairs)
-    found = staged(components(links))
-    # pairs with a common key that are not yet in one group
-    now = lines.select("id", "h1", "words").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("h1", "words", F.coalesce("component", "id").alias("component"))
-    now = staged(shown.select("key", "h1").join(now, "h1"))
-    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    now = staged(now.join(mixed, "key"))
-    x, y = now.alias("x"), now.alias("y")
-    rest = x.join(y, F.expr(f"x.key = y.key and x.h1 < y.h1 and x.component <> y.component and 100 * least(x.words, y.words) >= {PERCENT} * greatest(x.words, y.words)"))
-    rest = staged(bounded(rest.select(F.col("x.h1").alias("ha"), F.col("y.h1").alias("hb")).distinct()).join(pairs, ["a", "b"], "left_anti"))
-    return components(links.union(verified(rest))).select(F.col("node").alias("id"), "component")
+    found = components(links)
+    # lines of one frequent key that are not yet in one group
+    now = lines.select("id", "h1", "words", "odd").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = staged(shown.select("key", "h1").distinct().join(now, "h1"))
+    release(met, found)
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_ = staged(labelled.join(mixed, "key"))
+    release(labelled)
+    sides = [open_.select("key", F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("words").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab"]
+    rest = sides[0].join(sides[1], "key").where((F.expr("a < b and ca <> cb")) & bound).select("a", "b").distinct()
+    rest = staged(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = verified(rest)
+    out = components(links.union(more))
+    release(open_, pairs, rest, links, more)
+    return out.select(F.col("node").alias("id"), "component")
 
 
 def _texts(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -281,21 +399,25 @@ def _texts(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """Per row of ``docs``: struct ``kept`` of its columns, ``text`` without removed lines, ``n_lines, n_removed``."""
-    every = staged(occurrences(docs, id_col, text_col))
+    occurring = staged(occurrences(docs, id_col, text_col))
+    every = occurring.where(F.col("words").isNull())
     place = F.struct("doc_id", "th", "line")
     lines = every.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("n").alias("words"), F.first("odd").alias("odd"))
     lines = staged(lines.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "at", "n", "sim", "words", "odd"))
-    groups = staged(_groups(lines.where(F.col("words") >= 100 // (100 - PERCENT)).select("id", "h1", "sim", "words", "odd", "at.doc_id", "at.th", "at.line"), docs, id_col, text_col))
+    long = lines.where(F.col("words") >= LEAST_FUZZY).select("id", "h1", "sim", "words", "odd", "at.doc_id", "at.th", "at.line")
+    groups = _groups(long, commonness(occurring), docs, id_col, text_col)
     grouped = lines.select("id", "h1", "h2", "at", "n").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = grouped.groupBy("component").agg(F.min("at").alias("first"), F.sum("n").alias("of")).where("of > 1")
     repeated = staged(grouped.join(first, "component").select("h1", "h2", "first"))
+    release(lines)
     key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.col("th")]
     gone = every.join(repeated, ["h1", "h2"]).where("not (struct(doc_id, th, line) <=> first)")
     gone = gone.groupBy(*key).agg(F.collect_set("line").alias("gone"))
-    rows = _keyed(docs, id_col, text_col, F.struct(*docs.columns).alias("kept"))
+    rows = _keyed(docs, id_col, text_col, row_of(docs).alias("kept"))
     copies = rows.groupBy("k", "none", "th").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     worded = every.select(*key, "line").join(copies, ["k", "none", "th"], "left_semi").groupBy("k", "none", "th").agg(F.collect_set("line").alias("all"))
     drops = staged(gone.join(worded, ["k", "none", "th"], "full"))
+    release(occurring, repeated)
     lines_of = F.split("text", "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of)).cast("long").alias("n_lines")
     known = few(drops.select("th"))
@@ -316,7 +438,7 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
 def thinned(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The columns of ``docs`` with the remaining texts; rows that lost lines and have no word left go."""
     rows = deduplicated(docs, id_col, text_col).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
-    return rows.select(*(F.col("text").alias(text_col) if c == text_col else F.col(f"kept.{c}").alias(c) for c in docs.columns))
+    return rows.select(*(F.col("text").alias(text_col) if c == text_col else F.col(f"kept.{quoted(c)}").alias(c) for c in docs.columns))
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
