@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, table, word_count
+from .common import WORD, few, release, row_of, staged, table, word_count
 from .components import components
 from .shingles import chunks, mix, shingle_sets
 
@@ -136,6 +136,9 @@ def sketched(docs: DataFrame, k: int, id_col="doc_id", text_col="text") -> DataF
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col="doc_id", text_col="text") -> DataFrame:
     """``node, n, items`` (sorted set as bytes) for rows of ``node, doc_id, th, fp``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    known = few(wanted.select("th"))
+    if known is not None:  # only their texts need to be dealt
+        rows = rows.join(known, "th", "left_semi")
     rows = rows.alias("d").join(wanted.alias("w"), F.expr("d.th = w.th and d.doc_id <=> w.doc_id")).select("node", "fp", "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,29 +185,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
     """``doc_id, th, n, component, component_id`` per row of ``docs``; ``percent`` is the least similarity in hundredths."""
-    rows = staged(sketched(docs, k, id_col, text_col))
-    named = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("from"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("odd").alias("odd"))
+    sketches = staged(sketched(docs, k, id_col, text_col))
+    rows = staged(sketches.select("doc_id", "th", "n", "fp"))
+    named = sketches.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("from"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("odd").alias("odd"))
     nodes = staged(named.select(F.monotonically_increasing_id().alias("node"), "fp", "least", "from.doc_id", "from.th", "n", "bands", "registers", "odd"))
+    release(sketches)
     banded = nodes.select("node", F.explode("bands").alias("key"))
     met = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = staged(banded.join(met, "key"))
     weights = met.groupBy("node").agg(F.sum("c").alias("w"))
     first = met.join(weights, "node").groupBy("key").agg(F.max(F.struct("w", F.col("node").alias("lead"))).alias("x")).select("key", "x.lead")
     pairs = met.join(first, "key").where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-    wanted = met.select("node").distinct().join(nodes.select("node", "doc_id", "th", "fp"), "node")
+    wanted = staged(met.select("node").distinct().join(nodes.select("node", "doc_id", "th", "fp"), "node"))
     sets = staged(full_sets(docs, wanted, k, id_col, text_col))
     tested = staged(likely(pairs, nodes, percent))
-    links = staged(verified(tested, sets, percent))
-    found = staged(components(links))
-    able = staged(_open(met, found, sets, nodes, percent))
-    tested, more = _against_leads(able, tested, nodes, sets, percent)
-    links = staged(links.union(more))
-    found = staged(components(links))
-    links = staged(links.union(verified(_rest(able, found, tested, nodes, percent), sets, percent)))
+    first_links = staged(verified(tested, sets, percent))
+    found = components(first_links)
+    able = _open(met, found, sets, nodes, percent)
+    release(wanted, met, found)
+    fresh = staged(_against_leads(able, tested, nodes, percent))
+    links = staged(first_links.union(verified(fresh, sets, percent)))
     found = components(links)
+    rest = _rest(able, found, tested.union(fresh), nodes, percent)
+    every = staged(links.union(verified(rest, sets, percent)))
+    release(sets, tested, fresh, rest, able, first_links, links, found)
+    found = components(every)
+    release(every)
     of_node = nodes.select("node", "fp", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_set = of_node.join(least, "component").select("fp", "component", "component_id")
+    of_set = staged(of_node.join(least, "component").select("fp", "component", "component_id"))
+    release(nodes, found)
     out = rows.join(of_set, "fp", "left")
     return out.select("doc_id", "th", "n", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -224,7 +234,9 @@ def _open(met: DataFrame, found: DataFrame, sets: DataFrame, nodes: DataFrame, p
     each = sets.join(concerned, "node").select("node", "items").mapInArrow(items, "node long, item long")
     alone = each.groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
     shared = nodes.select("node", "n").join(concerned, "node").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
-    return now.join(shared.where(100 * F.col("s") >= percent * F.col("n")), "node").join(nodes.select("node", "odd"), "node")
+    able = staged(now.join(shared.where(100 * F.col("s") >= percent * F.col("n")), "node").join(nodes.select("node", "odd"), "node"))
+    release(now)
+    return able
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -238,36 +250,46 @@ def _possible(percent: int):
     return F.expr("x.key = y.key and x.component <> y.component") & (100 * most >= percent * (both - most)) & near
 
 
-def _against_leads(able: DataFrame, tested: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Compare the members of each open bucket with its LEADS members that have the fewest shingles of their own, which
-    in a family of edited copies are the least edited. Returns all pairs tested so far, and the new links."""
+def _against_leads(able: DataFrame, tested: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of the members of each open bucket with its LEADS members that have the fewest shingles of their own,
+    which in a family of edited copies are the least edited; without those tested before."""
     order = Window.partitionBy("key").orderBy((F.col("s") / F.col("n")).desc(), F.col("n").desc(), "node")
     leads = able.withColumn("i", F.row_number().over(order)).where(F.col("i") <= LEADS)
     pairs = able.alias("x").join(leads.alias("y"), _possible(percent))
     pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    fresh = staged(likely(pairs.join(tested, ["a", "b"], "left_anti"), nodes, percent))
-    return tested.union(fresh), verified(fresh, sets, percent)
+    return likely(pairs.join(tested, ["a", "b"], "left_anti"), nodes, percent)
 
 
 def _rest(able: DataFrame, found: DataFrame, tested: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs of open buckets that are still worth a test, as ``a, b``; each only in the first band that it shares."""
-    rows = staged(_labelled(able.drop("component"), found))
-    still = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rows = rows.join(still, "key").join(nodes.select("node", "bands"), "node")
+    labelled = staged(_labelled(able.drop("component"), found))
+    still = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    rows = labelled.join(still, "key").join(nodes.select("node", "bands"), "node")
     first = F.get(F.filter("x.bands", lambda b, i: b == F.get("y.bands", i)), F.lit(0)) == F.col("x.key")
     pairs = rows.alias("x").join(rows.alias("y"), _possible(percent) & F.expr("x.node > y.node") & first)
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return likely(pairs.join(tested, ["a", "b"], "left_anti"), nodes, percent)
+    out = staged(likely(pairs.join(tested, ["a", "b"], "left_anti"), nodes, percent))
+    release(labelled)
+    return out
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one of least id (then text hash); rows without words all stay."""
-    rows = near_duplicates(docs, k, percent, id_col, text_col)
-    best = rows.where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
-    whole = docs.select(F.struct(*docs.columns).alias("kept"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), word_count(F.col(text_col)).alias("words"))
-    met = whole.where("words > 0").alias("d").join(staged(best).alias("w"), F.expr("d.th = w.th and d.doc_id <=> w.doc_id")).select("kept", "d.doc_id", "d.th")
+    rows = staged(near_duplicates(docs, k, percent, id_col, text_col).where("n > 0").groupBy("component", "doc_id", "th").agg(F.count("*").alias("n")))
+    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("x"))
+    best = best.select("component", F.col("x.doc_id").alias("first_id"), F.col("x.th").alias("first_th"))
+    judged = rows.join(best, "component").withColumn("stays", F.expr("doc_id <=> first_id and th = first_th"))
+    touched = staged(judged.where("not stays or n > 1").select("doc_id", "th", "stays"))  # members of groups of several rows
+    release(rows)
+    whole = docs.select(row_of(docs).alias("kept"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), word_count(F.col(text_col)).alias("words"))
+    worded, alone = whole.where("words > 0"), whole.where("words = 0")
+    known = few(touched.select("th"))
+    if known is not None:  # only rows of groups need to be dealt
+        alone = alone.unionByName(worded.join(known, "th", "left_anti").select(whole.columns))
+        worded = worded.join(known, "th", "left_semi")
+    met = worded.alias("d").join(touched.alias("w"), F.expr("d.th = w.th and d.doc_id <=> w.doc_id"), "left").where("coalesce(stays, true)").select("kept", "d.doc_id", "d.th")
     one = met.withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(F.lit(0)))).where("i = 1")
-    return one.select("kept.*").union(whole.where("words = 0").select("kept.*"))
+    return one.select("kept.*").union(alone.select("kept.*"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
