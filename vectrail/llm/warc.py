@@ -127,9 +127,15 @@ class Reader:
 
 
 def _store(uri: str):
+    """pyarrow's file system and the path in it, for a plain path, ``scheme:/path`` or ``scheme://host/path``."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    scheme, sep, rest = uri.partition(":")
+    if not sep or "/" in scheme:
+        return fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(uri if rest.startswith("//") else f"{scheme}://{rest}")
 
 
 def open_bundle(uri: str) -> Reader:
@@ -162,23 +168,28 @@ def write_bundles(records: DataFrame, folder: str) -> DataFrame:
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """Every record of the bundles that the index names: headers and the payload's measured length and digest."""
+    """Every record that the index names, by its frame and offset: headers and the payload's measured length and digest.
+
+    A bundle's entries come to one task, as they are bounded with the bundle; a frame is unpacked once for all of them.
+    """
     schema = "page_id long, url string, record_type string, refers_to long, stated_bytes long, stated_digest string, payload_bytes long, payload_digest string"
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    def number(urn: str):
+        return int(urn[len("<urn:page:"):-1] or 0) if urn and urn != "<urn:page:>" else None
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def number(urn: str):
-            return int(urn[len("<urn:page:"):-1] or 0) if urn and urn != "<urn:page:>" else None
         for batch in batches:
-            for bundle in batch.column("bundle").to_pylist():
-                reader = open_bundle(bundle)
-                for i in range(len(reader.sizes)):
-                    block, at, rows = reader.frame(i), 0, []
-                    while at < len(block):
-                        headers, payload, at = parse(block, at)
-                        rows.append((number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], headers["WARC-Type"], number(headers.get("WARC-Refers-To", "")), int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"), len(payload), base32_sha1(payload)))
-                    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
-    bundles = index.groupBy("bundle").agg(F.count("*").alias("n"))
-    return bundles.select("bundle").repartition("bundle").mapInArrow(read, schema)
+            for bundle, entries in zip(batch.column("bundle").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                reader, frame, block, rows = open_bundle(bundle), None, b"", []
+                for e in sorted(entries, key=lambda e: (e["frame"], e["offset"])):
+                    if e["frame"] != frame:
+                        frame, block = e["frame"], reader.frame(e["frame"])
+                    headers, payload, end = parse(block, e["offset"])
+                    if number(headers["WARC-Record-ID"]) != e["page_id"] or end - e["offset"] != e["length"]:
+                        raise ValueError(f"{bundle}: the index and frame {frame} differ at {e['offset']}")
+                    rows.append((e["page_id"], headers["WARC-Target-URI"], headers["WARC-Type"], number(headers.get("WARC-Refers-To", "")), int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"), len(payload), base32_sha1(payload)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+    bundles = index.groupBy("bundle").agg(F.collect_list(F.struct("page_id", "frame", "offset", "length")).alias("entries"))
+    return bundles.mapInArrow(read, schema)
 
 
 def records_of(pages: DataFrame, least: int = 0) -> DataFrame:
