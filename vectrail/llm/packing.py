@@ -1,10 +1,11 @@
 """Packing documents into training sequences by variable-capacity best fit.
 
 Several sequence lengths are permitted. Items are placed by decreasing length into the open bin that they fill
-best; where none has room a new bin is opened. Which size opens at least cost depends on what else there is to
-pack, so the permitted sizes are optimised jointly: every choice of an opening size, and opening the smallest size
-that holds the item, is packed in full, each bin is downsized to the smallest permitted length that holds its
-contents, and the choice of least total cost (places plus OVERHEAD per sequence) wins.
+best; where none has room a new bin is opened, of the size that costs least for each place it would hold: every
+permitted size is filled in thought with the longest items left that fit, downsized, and its cost (places plus
+OVERHEAD) divided by what it holds. At the end each bin is downsized to the smallest permitted length that holds its
+contents. As no rule of opening is best for all items, a shard is also packed with each single opening size, and the
+packing of least total cost stays.
 
 Documents longer than the longest sequence are cut into pieces of that length and a rest; nothing is dropped.
 
@@ -21,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +35,29 @@ OVERHEAD = 16
 SHARD_ITEMS = 4096
 
 
-def best_fit(lengths: list[int], capacities=CAPACITIES, opening: int | None = None) -> tuple[list[int], list[int]]:
+def best_fit(lengths: list[int], capacities=CAPACITIES, opening: int | None = None, overhead: int | None = None) -> tuple[list[int], list[int]]:
     """Bin of each length, and each bin's size after downsizing. ``lengths`` must not rise. ``opening``: the size
-    that new bins have (None: the smallest that holds the item)."""
+    that new bins have (None: the smallest that holds the item). With ``overhead``, each new bin has the size of least cost
+    for each place filled, and ``opening`` says nothing."""
     sizes = sorted(capacities)
+    left = Counter(lengths)
+    lying = sum(1 << n for n in left)  # bit n: an item of length n is left
+    def cost(n: int, c: int) -> float:
+        room, taken, some = c - n, Counter(), lying
+        while some := some & ((1 << (room + 1)) - 1):
+            most = some.bit_length() - 1
+            count = min(left[most] - taken[most], room // most)
+            taken[most] += count
+            room -= count * most
+            some &= ~(1 << most)
+        return (next(x for x in sizes if x >= c - room) + overhead) / (c - room)
     room: dict[int, list[int]] = {}
     there = 0  # bit r: some bin has room r
     where, used, size = [], [], []
     for n in lengths:
+        left[n] -= 1
+        if not left[n]:
+            lying &= ~(1 << n)
         fitting = there >> n
         if fitting:
             r = n + (fitting & -fitting).bit_length() - 1
@@ -49,7 +66,7 @@ def best_fit(lengths: list[int], capacities=CAPACITIES, opening: int | None = No
                 there &= ~(1 << r)
         else:
             least = next(c for c in sizes if c >= n)
-            b, r = len(used), max(least, opening or 0)
+            b, r = len(used), max(least, opening or 0) if overhead is None else min((c for c in sizes if c >= n), key=lambda c: (cost(n, c), c))
             used.append(0)
             size.append(r)
         used[b] += n
@@ -61,8 +78,8 @@ def best_fit(lengths: list[int], capacities=CAPACITIES, opening: int | None = No
 
 
 def cheapest(lengths: list[int], capacities=CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int]]:
-    """The packing of least cost among all opening sizes."""
-    tried = [best_fit(lengths, capacities, opening) for opening in (None, *sorted(capacities))]
+    """The packing of least cost: each bin opened at its own size, or all at one."""
+    tried = [best_fit(lengths, capacities, overhead=overhead)] + [best_fit(lengths, capacities, opening) for opening in (None, *sorted(capacities))]
     return min(tried, key=lambda x: sum(x[1]) + overhead * len(x[1]))
 
 
