@@ -30,7 +30,7 @@ from .common import table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)""",
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(>|\Z)|<[!?/][^>]*+>|([^<]++|<)""",
     re.S | re.I,
 )
 #: Elements that are left out with what they hold, if they are closed; an open one is just a tag.
@@ -59,6 +59,18 @@ TIE_NEXT, TIE_SAME = 0.5, 0.5
 FIRM = 6.0
 
 
+def class_words(values: list[str]) -> set[str]:
+    """Words of class, id and role: whole names, and the parts of compound ones. A compound that has a word for content and
+    ``header``, or ``free`` or ``result``, speaks of the content's own parts, not against it."""
+    out: set[str] = set()
+    for name in " ".join(values).lower().split():
+        parts = set(re.split(r"[^a-z0-9]+", name)) - {""}
+        if len(parts) > 1 and ("free" in parts or parts & {"result", "results"} or "header" in parts and parts & FOR_WORDS):
+            parts -= AGAINST_WORDS
+        out |= parts
+    return out
+
+
 class Page:
     """Blocks of a page: text, score (over 0: content), container and its ancestors."""
 
@@ -72,7 +84,10 @@ class Page:
         at, unclosed = 0, set()
         while m := TOKEN.search(html, at):
             at = m.end()
-            text = m[5]
+            text = m[6]
+            if m[5] == "":  # a tag without an end, hence without any further tag: text
+                self.parts.append(html[m.start():])
+                break
             if text is not None:
                 self.parts.append(text)
                 if self.links and len(text) > 1:
@@ -112,7 +127,7 @@ class Page:
     def start(self, name: str, attributes: str) -> None:
         self.end(ENDS.get(name, {"p"}) | {"p"} if name != "p" else {"p"}, CONTAINERS)
         _, evidence, inside, path = self.stack[-1]
-        words = {w for m in ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())} if attributes and "=" in attributes else ()
+        words = class_words([m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)]) if attributes and "=" in attributes else ()
         if name in AGAINST_TAGS or words and not AGAINST_WORDS.isdisjoint(words) and name not in ("body", "html", "main", "article"):
             evidence = min(evidence, 0.0) - W_AGAINST
         elif name == "header" and not inside:
