@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -463,3 +464,42 @@ def test_pipeline(spark, data):
     words = last.select(F.sum(word_count(F.col("text")))).first()[0]
     assert kept.agg(F.sum("length")).first()[0] == words
     assert sorted(corpus_pipeline.run(spark, data).collect(), key=str) == sorted(kept.collect(), key=str)
+
+
+def test_extract_hostile_html():
+    body = "text " * 30
+    assert extract.main_text("<article><svg class=x /><p>one</p></article>") == "one"
+    assert extract.main_text("<article><p data-x=it's>a b</p><p>don't</p></article>") == "a b\ndon't"
+    assert extract.main_text(f"<article><div class='article-header'><h1>Title</h1></div><p>{body}</p></article>") == "Title\n" + body.strip()
+    assert extract.main_text(f"<section class='ad-free content'><p>{body}</p></section>") == body.strip()
+    assert extract.main_text(f"<div class='story search-result'><p>{body}</p></div>") == body.strip()
+    assert extract.main_text("<article><p>one</p>two <b") == "one\ntwo <b"
+    for part in ('<a "', '<a x="', "<a x='>' ", "<p "):
+        begun = time.time()
+        extract.main_text(part * 100_000)
+        assert time.time() - begun < 5
+
+
+def test_extract_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "u", "<article><p>a</p></article>", 5), (1, "u", "<article><p>a</p></article>", 5), (2, None, None, 6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
+    assert sorted((r.page_id, r.text, r.n_chars) for r in extract.extracted(pages).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]
+    assert extract.extracted(pages.where("1 = 0")).count() == 0
+
+
+def test_bins_open_at_their_own_size():
+    lengths = [700, 500, 300, 300, 200, 200, 100, 24]
+    where, sizes = packing.best_fit(lengths, overhead=16)
+    filled = [sum(n for n, b in zip(lengths, where) if b == i) for i in range(len(sizes))]
+    assert sum(filled) == sum(lengths) and all(f <= s for f, s in zip(filled, sizes))
+    rng = random.Random(2)
+    for _ in range(5):
+        lengths = sorted((rng.randint(1, 4096) for _ in range(300)), reverse=True)
+        cost = lambda x: sum(x[1]) + 16 * len(x[1])
+        assert cost(packing.cheapest(lengths)) <= min(cost(packing.best_fit(lengths, opening=o)) for o in (None, *packing.CAPACITIES))
+
+
+def test_warc_paths(tmp_path):
+    for uri in (f"file:{tmp_path}/a", f"file://{tmp_path}/a", f"{tmp_path}/a"):
+        store, path = warc._store(uri)
+        assert type(store).__name__ == "LocalFileSystem" and path == f"{tmp_path}/a"

@@ -107,3 +107,23 @@ def test_mixing_targets_stop_at_the_cap(spark):
     assert found["a"].target == 20.0 and found[None].target == 0.0 and found[None]["rank"] == 4
     # weights 3, 1, 2 in code point order; a and then c are full, b takes the rest
     assert found["c"].target == 1000.0 and found["b"].target == pytest.approx(1.5 * 1510 - 1020)
+
+
+def test_secrets_of_every_encoding(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = ["0123456789ABCDEF", letters.upper() + "234567", letters + "234567", "0123456789" + letters, "0123456789" + letters.upper(), letters + letters.upper(),
+                 "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", "0123456789" + letters + letters.upper(), "0123456789" + letters + letters.upper() + "+/"]
+    rng = random.Random(3)
+    rows = [(k, n, f"see {''.join(rng.choice(a) for _ in range(n))} for more") for k, a in enumerate(alphabets) for n in (40, 64) for _ in range(40)]
+    words = "someVeryLongCamelCaseIdentifierName internationalization_of_all_things this-is-a-long-slug-for-a-page-title /usr/local/share/applications/whatever"
+    found = secrets.scan(spark.createDataFrame([*rows, (99, 0, words)], "k int, n int, text string"), keep=("k", "n"))
+    share = {(r.k, r.n): r.share for r in found.groupBy("kept.k", "kept.n").agg(F.avg((F.size("random") > 0).cast("int")).alias("share")).collect()}
+    assert share.pop((99, 0)) == 0
+    assert all(x >= (0.7 if k == 0 and n == 40 else 0.9) for (k, n), x in share.items()), share  # a short hexadecimal run is the hardest
+
+
+def test_secrets_end_at_equals_and_path(spark):
+    secret = "CoxkrS6Cqs4KvgCgPHxRx8ygRl4mla0wDeZEEWLR"
+    text = f"x https://example.com/path/to/thing/{secret} client_key_for_upload={secret}"
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [text[x.s:x.e] for x in row.random] == [secret, secret]

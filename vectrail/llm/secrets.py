@@ -2,7 +2,7 @@
 
 Base patterns (assignments of passwords and tokens, access key ids, long hexadecimal runs) are found as they
 are. Every other token of 20 or more characters of the usual encodings' alphabets goes through the battery, by
-the encoding inferred from its characters (hexadecimal, base 32, base 64):
+the encoding inferred from its characters (hexadecimal, base 32, 36, 52, 58, 62 or 64):
 
 * alphabet uniformity, chi-squared: ``X = a / n * sum(count^2) - n`` for alphabet size ``a``;
 * runs: the number of changes between digits, lower case, upper case and the rest;
@@ -10,10 +10,11 @@ the encoding inferred from its characters (hexadecimal, base 32, base 64):
 
 A token counts as random only if no test rejects randomness at |z| > MAX_Z. It is reported if, besides, ordinary
 text is rejected as its origin: the distance of ``X`` and of the changes from what written words of that length
-give (coincidence rate of letters, rate of changes of class) is expressed as two z values, summed over sqrt(2).
+give (coincidence rate of letters, rate of changes of class), and of the letters' mean surprise, is expressed as three z
+values; the largest of these and of their sum over sqrt(3) counts, as small alphabets differ from text in one only.
 These grow with the length, and a short token can't reach a high value. Over the whole corpus, the false
 discovery rate is held at FDR by the Benjamini-Hochberg rule within each band of lengths, on a histogram of z in
-steps of 1/STEPS, which has a fixed number of cells whatever the corpus; p is bounded above by exp(-z^2/2)/2.
+steps of 1/STEPS, which has a fixed number of cells whatever the corpus; p is bounded above by 4 exp(-z^2/2)/2.
 
 Defined results: null text is read as empty; positions are code points, the end exclusive; a token that touches a
 base span is not tested; repeated rows each get a row; extra columns are ignored unless named in ``keep``; an
@@ -22,6 +23,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +36,24 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "random")
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Tokens end at an equals sign, other than one of padding, and at a slash where whole words stand between slashes.
+TOKEN = (
+    r"(?:(?<![A-Za-z0-9+/_-])(?![a-z]{2,}+/)(?![A-Za-z0-9+/_-]*?/[a-z]{2,}+/)[A-Za-z0-9+/_-]{20,}+={0,2}"
+    r"|(?<![A-Za-z0-9+_-])[A-Za-z0-9+_-]{20,}+={0,2})"
+)
+#: Encodings in the order in which they are tried: pattern, size of the alphabet, its digits, lower and upper case letters.
+ENCODINGS = (
+    ("^([0-9a-f]+|[0-9A-F]+)$", 16, 10, 6, 0), ("^([A-Z2-7]+|[a-z2-7]+)=*$", 32, 6, 26, 0), ("^([0-9a-z]+|[0-9A-Z]+)$", 36, 10, 26, 0),
+    ("^[A-Za-z]+$", 52, 0, 26, 26), ("^[1-9A-HJ-NP-Za-km-z]+$", 58, 9, 25, 24), ("^[0-9A-Za-z]+$", 62, 10, 26, 26), ("", 64, 10, 26, 26),
+)
 #: Written words: rate of equal letters, sum of cubed letter shares, rate of changes between classes.
 TEXT_COINCIDENCE, TEXT_CUBES, TEXT_CHANGES = 0.066, 0.0056, 0.15
+#: Shares of the letters a to z in written words, in percent; a parameter, rounded from English.
+TEXT_LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+_SURPRISE = [-math.log(x / sum(TEXT_LETTERS)) for x in TEXT_LETTERS]
+#: Mean and deviation of a letter's surprise in written words.
+TEXT_SURPRISE = sum(x * y for x, y in zip(TEXT_LETTERS, _SURPRISE, strict=True)) / sum(TEXT_LETTERS)
+TEXT_SPREAD = math.sqrt(sum(x * (y - TEXT_SURPRISE) ** 2 for x, y in zip(TEXT_LETTERS, _SURPRISE, strict=True)) / sum(TEXT_LETTERS))
 MAX_Z = 4.0
 FDR = 0.001
 STEPS, MOST = 10, 60
@@ -72,7 +90,9 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
 def _tested(token: Column) -> Column:
     """Struct ``z, ok`` of a token: distance from written words, and whether no test rejects randomness."""
     n = F.length(token).cast("double")
-    size = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16.0).when(token.rlike("^[A-Z2-7]+=*$"), 32.0).otherwise(64.0)
+    size = F.lit(None).cast("double")
+    for pattern, letters, *_ in reversed(ENCODINGS):
+        size = F.when(token.rlike(pattern), float(letters)).otherwise(size)
     chars = F.filter(F.split(token, ""), lambda c: c != "")
     def stats(chars: Column, n: Column, a: Column) -> Column:
         codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
@@ -82,12 +102,17 @@ def _tested(token: Column) -> Column:
         total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
         centred = let(total(codes) / n, lambda m: F.transform(codes, lambda c: c - m))
         serial = let(centred, lambda x: total(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda u, v: u * v)) / F.greatest(total(F.transform(x, lambda v: v * v)), F.lit(1e-9)))
-        return F.struct(squares.alias("squares"), let(F.transform(chars, kind), change).alias("changes"), serial.alias("serial"), n.alias("n"), a.alias("a"))
+        letters = F.filter(F.transform(codes, lambda c: (c.cast("int").bitwiseOR(F.lit(32)) - 97)), lambda c: (c >= 0) & (c < 26))
+        surprise = let(letters, lambda x: F.struct(F.aggregate(x, F.lit(0.0), lambda s, c: s + F.get(F.array(*map(F.lit, _SURPRISE)), c)).alias("sum"), F.size(x).cast("double").alias("n")))
+        return F.struct(squares.alias("squares"), surprise.alias("surprise"), let(F.transform(chars, kind), change).alias("changes"), serial.alias("serial"), n.alias("n"), a.alias("a"))
     def verdict(s: Column) -> Column:
         n, a = s["n"], s["a"]
         chi = a / n * s["squares"] - n
         z_chi = (chi - (a - 1)) / F.sqrt(2 * (a - 1))
-        rate = F.when(a == 16, 0.46875).when(a == 32, 0.3046875).otherwise(0.6450195)
+        rate = F.lit(None).cast("double")  # of changes between classes, in random characters
+        for _, letters, *classes in ENCODINGS:
+            rest = letters - sum(classes)
+            rate = F.when(a == letters, 1 - sum(x * x for x in (*classes, rest)) / letters**2).otherwise(rate)
         z_runs = (s["changes"] - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate))
         z_serial = s["serial"] * F.sqrt(n)
         pairs = n * (n - 1) / 2
@@ -96,7 +121,8 @@ def _tested(token: Column) -> Column:
         from_text = (pairs * k - (s["squares"] - n) / 2) / text_sd
         changed = (s["changes"] - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
         ok = (F.abs(z_chi) <= MAX_Z) & (F.abs(z_runs) <= MAX_Z) & (F.abs(z_serial) <= MAX_Z)
-        return F.struct(((from_text + changed) / F.sqrt(F.lit(2.0))).alias("z"), ok.alias("ok"))
+        unlikely = (s["surprise"]["sum"] - s["surprise"]["n"] * TEXT_SURPRISE) / (TEXT_SPREAD * F.sqrt(F.greatest(s["surprise"]["n"], F.lit(1.0))))
+        return F.struct(F.greatest((from_text + changed + unlikely) / F.sqrt(F.lit(3.0)), from_text, changed, unlikely).alias("z"), ok.alias("ok"))
     return let(chars, lambda c: let(stats(c, n, size), verdict))
 
 
@@ -119,7 +145,7 @@ def limits(tested: DataFrame) -> DataFrame:
     upper = Window.partitionBy("band").orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0)
     z = F.col("cell") / F.lit(float(STEPS))
     cells = cells.withColumn("above", F.sum("count").over(upper)).withColumn("m", F.sum("count").over(Window.partitionBy("band")))
-    return cells.where(F.col("m") * F.exp(-z * z / 2) / 2 <= FDR * F.col("above")).groupBy("band").agg(F.min("cell").alias("least"))
+    return cells.where(F.col("m") * 4 * F.exp(-z * z / 2) / 2 <= FDR * F.col("above")).groupBy("band").agg(F.min("cell").alias("least"))
 
 
 def scan(docs: DataFrame, keep=("doc_id",), text_col="text") -> DataFrame:
