@@ -1,5 +1,7 @@
 """Search, filters, builder, clustering, compression, changes, collections and streams on small inputs."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from vectrail.operators import analytics, ann, changes, clustering, filters
 from vectrail.operators import builder as B
 from vectrail.operators import search as S
-from vectrail.plans import sqlx
+from vectrail.plans import catalog, sqlx
 from vectrail.sources import files
 from vectrail.sources.collection import Field, Schema, Store
 from vectrail.streaming import windows as W
@@ -84,10 +86,27 @@ def test_recall(spark, data):
     rows = spark.read.parquet(f"{data}/embeddings.parquet")
     queries = rows.where("vec_id % 25 = 0")
     exact = S.knn_join(queries, rows, 5).select("query_id", "neighbor_id")
-    for found in (ann.ivf_search(ann.ivf_build(rows, 8), queries, 5, probes=6, metric="cosine"), ann.lsh_search(rows, queries, 5, tables=24, bits=3), ann.forest_search(rows, queries, 5, trees=24, leaf=128)):
+    holes = rows.union(spark.createDataFrame([(10**6, None, 0)], rows.schema))
+    for found in (ann.ivf_search(ann.ivf_build(holes), queries, 5, metric="cosine"), ann.lsh_search(holes, queries, 5), ann.forest_search(holes, queries, 5)):
         assert found.join(exact, ["query_id", "neighbor_id"]).count() >= 0.9 * exact.count()
 
 
+def test_recall_of_registered_searches(spark):
+    found = catalog.queries()["ann_recall"](spark, "/root/testdata/sf0.1" if os.path.exists("/root/testdata/sf0.1") else os.environ["VECTRAIL_TEST_DATA"])
+    assert [r.method for r in found.collect() if r.recall < 0.9] == []
+
+
+def test_repeated_ids_in_a_batch(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, s string, n int")
+    new = spark.createDataFrame([(2, "x", 5), (2, "y", 6), (3, "p", 7), (3, "q", 8)], "id int, s string, n int").coalesce(1)
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    assert plain(changes.upsert(rows, new, "id")) == [(1, "a", 1), (2, "y", 6), (3, "q", 8)]
+    assert plain(changes.upsert(rows, new, "id", "update")) == [(1, "a", 1), (2, "y", 6)]
+    assert plain(changes.upsert(rows, new, "id", "insert")) == [(1, "a", 1), (2, "b", 2), (3, "p", 7)]
+    patches = spark.createDataFrame([(2, "x", None), (2, None, 9), (2, "z", None)], "id int, s string, n int").coalesce(1)
+    assert plain(changes.partial_update(rows, patches, "id")) == [(1, "a", 1), (2, "z", 9)]
+
+
 def test_quantizers(spark):
     x = np.random.default_rng(1).normal(size=(400, 16))
     pq = ann.ProductQuantizer(4, 32).fit_points(x)

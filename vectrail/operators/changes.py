@@ -6,23 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(rows: DataFrame, changes: DataFrame, id_col: str, mode: str = "upsert") -> DataFrame:
-    """``insert`` keeps rows that exist, ``update`` only replaces them, ``upsert`` does both."""
+def _once(changes: DataFrame, id_col: str, order_col: str | None, newest: bool = True) -> DataFrame:
+    """One change per id, by ``order_col`` or else by its place in the batch; null ids stay as they are."""
+    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    placed = changes.withColumn("_at", order)
+    window = Window.partitionBy(id_col).orderBy(F.col("_at").desc() if newest else F.col("_at"))
+    return placed.withColumn("_n", F.row_number().over(window)).where((F.col("_n") == 1) | F.col(id_col).isNull()).drop("_n", "_at")
+
+
+def upsert(rows: DataFrame, changes: DataFrame, id_col: str, mode: str = "upsert", order_col: str | None = None) -> DataFrame:
+    """``insert`` keeps rows that exist, ``update`` only replaces them, ``upsert`` does both. Of several changes of one id
+    the newest counts (for ``insert`` the first), by ``order_col`` or by their place in the batch."""
     if mode not in ("insert", "update", "upsert"):
         raise ValueError(f"unknown mode {mode}")
-    ids = changes.select(id_col)
+    changes = _once(changes, id_col, order_col, newest=mode != "insert").select(rows.columns)
     if mode == "insert":
         return rows.unionByName(changes.join(rows.select(id_col), id_col, "left_anti").select(rows.columns))
-    kept = rows.join(ids, id_col, "left_anti").select(rows.columns)
+    kept = rows.join(changes.select(id_col), id_col, "left_anti").select(rows.columns)
     if mode == "update":
         changes = changes.join(rows.select(id_col), id_col, "left_semi")
     return kept.unionByName(changes.select(rows.columns))
 
 
-def partial_update(rows: DataFrame, patches: DataFrame, id_col: str) -> DataFrame:
-    """Fields that a patch holds (not null) replace those of its row."""
-    fields = [c for c in patches.columns if c != id_col]
-    joined = rows.alias("r").join(patches.alias("p"), F.col(f"r.{id_col}") == F.col(f"p.{id_col}"), "left")
+def partial_update(rows: DataFrame, patches: DataFrame, id_col: str, order_col: str | None = None) -> DataFrame:
+    """Fields that a patch holds (not null) replace those of its row; of several patches the newest that holds the field."""
+    fields = [c for c in patches.columns if c not in (id_col, order_col)]
+    placed = patches.withColumn("_at", F.col(order_col) if order_col else F.monotonically_increasing_id())
+    merged = placed.groupBy(id_col).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in fields))
+    joined = rows.alias("r").join(merged.alias("p"), F.col(f"r.{id_col}") == F.col(f"p.{id_col}"), "left")
     return joined.select(*(F.coalesce(f"p.{c}", f"r.{c}").alias(c) if c in fields else F.col(f"r.{c}").alias(c) for c in rows.columns))
 
 

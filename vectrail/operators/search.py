@@ -26,6 +26,20 @@ def ranked(rows: DataFrame, order: list[Column], limit: int | None = 10, offset:
     return page.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def placed(rows: DataFrame, lead: list[Column], order: list[Column], steps: list[str], name: str = "place") -> DataFrame:
+    """All rows with their place in the order ``lead`` and then ``order``. ``steps`` are the columns that ``lead`` sorts by, in
+    coarse steps: rows are counted per step, and numbered within a step only, so no task sees them all."""
+    counts = rows.groupBy(*steps).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*(F.col(c).alias(f"_s_{c}") for c in steps), "_before")
+    same = None
+    for c in steps:
+        one = rows[c].eqNullSafe(F.col(f"_s_{c}"))
+        same = one if same is None else same & one
+    within = F.row_number().over(Window.partitionBy(*steps).orderBy(*order))
+    return rows.join(starts, same).withColumn(name, (F.col("_before") + within).cast("long")).select(*rows.columns, name)
+
+
 def scored(rows: DataFrame, query, vector="embedding", metric="cosine", digits: int = DIGITS) -> DataFrame:
     """``rows`` with ``score``, a distance; rounded, so that equal distances tie and the id decides."""
     return rows.withColumn("score", F.round(V.distance(V.as_column(vector), query, metric), digits))

@@ -110,9 +110,9 @@ def keywords(spark, d) -> DataFrame:
     return T.keywords(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query(r"SELECT doc_id, md5(substr(lower(replace(regexp_replace(text, '[^\p{L}\p{N}\s]', '', 'g'), chr(10), ' ')), 1, 512)) AS digest FROM documents")
+@query(r"SELECT doc_id, md5(lower(replace(regexp_replace(text, '[^\p{L}\p{N}\s]', '', 'g'), chr(10), ' '))) AS digest FROM documents")
 def text_normalize(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(T.normalized(C("text"), 512)).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.normalized(C("text"))).alias("digest"))
 
 
 @query(rf"SELECT doc_id, len(t) AS n, coalesce(list_sum(list_transform(t, lambda w: strlen(w) % {T.VOCABULARY})), 0)::BIGINT AS total FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS t FROM documents)")
@@ -126,9 +126,9 @@ def vectorize(spark, d) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.vectorize(C("text")).alias("vector"))
 
 
-@query(r"SELECT lower(w) AS term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents) WHERE length(w) > 12 GROUP BY lower(w)")
+@query(r"SELECT lower(w) AS term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents) WHERE w <> '' GROUP BY lower(w)")
 def inverted_index(spark, d) -> DataFrame:
-    """Postings of long words: how often and in how many documents."""
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("w")).where(F.length("w") > 12)
+    """Postings of all words: how often and in how many documents."""
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''")
     postings = words.groupBy(F.lower("w").alias("term"), "doc_id").agg(F.count("*").alias("n"))
     return postings.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.search import placed
 from ..tables import table, views
 from .registry import query
 
@@ -310,11 +311,11 @@ def win_running(spark, d) -> DataFrame:
 
 
 # sorting and limits; the row numbers make the order part of the result
-@query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC, c_acctbal, c_custkey) AS place FROM customer QUALIFY place <= 100")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC, c_acctbal, c_custkey) AS place FROM customer")
 def order_by(spark, d) -> DataFrame:
-    """The first hundred by two keys; the page is cut before it is numbered."""
-    page = table(spark, d, "customer").orderBy(C("c_mktsegment").desc(), "c_acctbal", "c_custkey").limit(100)
-    return page.select("c_custkey", F.row_number().over(Window.orderBy(C("c_mktsegment").desc(), "c_acctbal", "c_custkey")).cast("long").alias("place"))
+    """All rows with their place by three keys."""
+    rows = table(spark, d, "customer").withColumn("step", F.floor(C("c_acctbal") / 10))
+    return placed(rows, [C("c_mktsegment").desc(), C("step")], [C("c_acctbal"), C("c_custkey")], ["c_mktsegment", "step"]).select("c_custkey", "place")
 
 
 _RARE = "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN c_acctbal END AS balance FROM customer"
@@ -332,12 +333,10 @@ def limit_offset(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy(C("l_extendedprice").desc(), "l_orderkey", "l_linenumber").offset(5).limit(20)
 
 
-@query("SELECT doc_id, lang, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id) AS place FROM documents QUALIFY place <= 50")
+@query("SELECT doc_id, lang, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id) AS place FROM documents")
 def sort_by_field(spark, d) -> DataFrame:
-    from ..operators.search import ranked
-
-    rows = table(spark, d, "documents").select("doc_id", "lang")
-    return ranked(rows, [C("lang").asc_nulls_first(), C("doc_id")], limit=50, name="place")
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.floor(C("doc_id") / 1024).alias("step"))
+    return placed(rows, [C("lang").asc_nulls_first(), C("step")], [C("doc_id")], ["lang", "step"]).select("doc_id", "lang", "place")
 
 
 # set operations
