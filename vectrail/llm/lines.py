@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,35 +39,53 @@ from .shingles import BASE, chunks, mix, words_of
 
 MIN_WORDS = 1
 PERCENT = 80
-CELLS = 128
+CELLS = 256
 WORD_CELLS = 1 << 16
 #: Lines of fewer words are similar only if equal: a line of four and one of five words may differ by the fifth.
 LEAST_FUZZY = PERCENT // (100 - PERCENT)
+ODD = [f"odd{i}" for i in range(CELLS // 64)]
 #: Lines that agree in one of so many blocks of their SimHash are candidates: all that differ in fewer bits.
 BLOCKS = 2
 #: Entries of a bucket, entries that a task holds before it sends them, lines of a key that meet each other there and then.
 BUCKET_ENTRIES, MOST_HELD, FEW = 1 << 18, 1 << 20, 64
 #: Codes of a position that says nothing and of a key that is sent in part; steps of the length's scale.
 ANYWHERE, FREQUENT, SCALE = 255, 255, 24
+#: Words that a count of one byte holds; words of the lines whose edits are counted by arrays, pairs at once, and cells for
+#: the words that two of them share.
+MOST_COUNTED, MOST_WORDS, AT_ONCE, COMMON_CELLS = 255, 512, 1 << 10, 1 << 10
 #: Line hashes that a task remembers, so that copies aren't sent again.
 MOST_MET = 1 << 20
 
 
 def simhash(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Of the words from ``first`` to ``last`` (exclusive) of each line: the majority of every bit, ties 0."""
+    """Of the words from ``first`` to ``last`` (exclusive) of each line: the majority of every bit, ties 0.
+
+    Eight bits, one of each byte, are counted at once; lines are cut into pieces short enough for counts of a byte.
+    """
+    size = last - first
+    pieces = -(-size // MOST_COUNTED)
+    line = np.repeat(np.arange(len(first)), pieces)
+    piece = np.arange(len(line)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = first[line] + piece * MOST_COUNTED
+    end = np.minimum(begin + MOST_COUNTED, last[line])
+    ends = np.cumsum(pieces)
     out = np.zeros(len(first), np.uint64)
-    twice = (last - first).astype(np.int32)
-    sums = np.zeros(len(hashes) + 1, np.int32)
-    for bit in range(64):
-        np.cumsum((hashes >> np.uint64(bit)).astype(np.uint8) & np.uint8(1), dtype=np.int32, out=sums[1:])
-        out |= (2 * (sums[last] - sums[first]) > twice).astype(np.uint64) << np.uint64(bit)
+    sums, upto = np.zeros(len(hashes) + 1, np.uint64), np.zeros((len(line) + 1, 8), np.int32)
+    for bit in range(8):
+        np.cumsum((hashes >> np.uint64(bit)) & np.uint64(0x0101010101010101), out=sums[1:])
+        counts = (sums[end] - sums[begin]).view(np.uint8).reshape(-1, 8)
+        if (pieces != 1).any():
+            np.cumsum(counts, axis=0, out=upto[1:])
+            counts = upto[ends] - upto[ends - pieces]
+        more = 2 * counts.astype(np.int32) > size[:, None]
+        out |= more.view("<u8").ravel() << np.uint64(bit)
     return out
 
 
 def distinct(hashes: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Which words are the first of their kind in their line; ``line`` is the line's number for each word."""
+    """Marks one word of each kind in a line; ``line`` is the line's number for each word."""
     key = hashes ^ mix(line.astype(np.uint64) + np.uint64(1))
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     out = np.ones(len(key), bool)
     out[by[1:][key[by[1:]] == key[by[:-1]]]] = False
     return out
@@ -100,7 +119,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, th, line, h1, h2, sim, n, odd`` for every line of MIN_WORDS words or more; lines count from 0. Each task
+    """``doc_id, th, line, h1, h2, sim, n`` and ODD for every line of MIN_WORDS words or more; lines count from 0. Each task
     adds one row that has only ``words``: how many words fall in each of WORD_CELLS cells, as bytes."""
     rows = _keyed(docs, id_col, text_col).select("doc_id", "th", "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +148,12 @@ def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 sim = simhash(own[once], upto[:-1], upto[1:])
                 take = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(number, pa.int64()), *(pa.array(x.view(np.int64)) for x in (h1, h2, sim)), pa.array(size, pa.int32()), pa.array(list(odd), pa.list_(pa.int64())), pa.nulls(len(size), pa.binary())],
+                    [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(number, pa.int64()), *(pa.array(x.view(np.int64)) for x in (h1, h2, sim)), pa.array(size, pa.int32()), *(pa.array(x) for x in np.ascontiguousarray(odd.T)), pa.nulls(len(size), pa.binary())],
                     names=schema.names,
                 )
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in schema.types[:-1]), pa.array([total.tobytes()], pa.binary())], names=schema.names)
-    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "th", "line", "h1", "h2", "sim")), ("n", pa.int32()), ("odd", pa.list_(pa.int64())), ("words", pa.binary())])
-    return rows.mapInArrow(run, "doc_id long, th long, line long, h1 long, h2 long, sim long, n int, odd array<long>, words binary")
+    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "th", "line", "h1", "h2", "sim")), ("n", pa.int32()), *((x, pa.int64()) for x in ODD), ("words", pa.binary())])
+    return rows.mapInArrow(run, f"doc_id long, th long, line long, h1 long, h2 long, sim long, n int, {' long, '.join(ODD)} long, words binary")
 
 
 def commonness(every: DataFrame) -> np.ndarray:
@@ -329,18 +348,89 @@ def similar(a: list, b: list, percent: int = PERCENT) -> bool:
     return 100 * (most - edit_distance(a, b)) >= percent * most
 
 
+def distances(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """``edit_distance`` of the first ``na`` codes of each row of ``a`` and ``nb`` of ``b``, one or more each, by bit
+    vectors of all rows at once, in blocks of 64. Codes behind a row's own must differ between ``a`` and ``b``."""
+    by = np.argsort(-nb, kind="stable")
+    a, b, na, nb = a[by], b[by], na[by], nb[by]
+    one, blocks = np.uint64(1), -(-a.shape[1] // 64)
+    last, top = (na - 1) // 64, ((na - 1) % 64).astype(np.uint64)
+    plus, minus, distance = np.full((blocks, len(a)), ~np.uint64(0)), np.zeros((blocks, len(a)), np.uint64), na.astype(np.int64)
+    bits = np.zeros((len(a), blocks * 8), np.uint8)
+    for j in range(int(nb[0])):
+        now = int(np.searchsorted(-nb, -j))  # rows that have a word there
+        found = np.packbits(a[:now] == b[:now, j : j + 1], axis=1, bitorder="little")
+        bits[:now, : found.shape[1]] = found
+        equals = bits[:now].view("<u8")
+        up, down = np.ones(now, np.uint64), np.zeros(now, np.uint64)  # what the block above passes on
+        for k in range(blocks):
+            equal, p, m = equals[:, k], plus[k, :now], minus[k, :now]
+            cover = equal | m
+            equal = equal | down
+            zero = (((equal & p) + p) ^ p) | equal
+            right, left = m | ~(zero | p), p & zero
+            own = last[:now] == k
+            distance[:now] += np.where(own, ((right >> top[:now]) & one).astype(np.int64) - ((left >> top[:now]) & one).astype(np.int64), 0)
+            over, under = right >> np.uint64(63), left >> np.uint64(63)
+            right, left = right << one | up, left << one | down
+            plus[k, :now], minus[k, :now] = left | ~(cover | right), right & cover
+            up, down = over, under
+    out = np.empty(len(a), np.int64)
+    out[by] = distance
+    return out
+
+
+def in_common(words: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At most how many words the texts ``x`` and ``y`` (numbers, pair by pair) share: the sum of the smaller counts in
+    each of COMMON_CELLS cells. ``words`` holds the texts' codes one after the other from ``begin``."""
+    some, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+    size = np.diff(begin)[some]
+    at = np.arange(size.sum()) + np.repeat(begin[some] - (np.cumsum(size) - size), size)
+    cell = np.repeat(np.arange(len(some)), size) * COMMON_CELLS + words[at] % COMMON_CELLS
+    counts = np.bincount(cell, minlength=len(some) * COMMON_CELLS).astype(np.uint16).reshape(-1, COMMON_CELLS)
+    return np.minimum(counts[where[: len(x)]], counts[where[len(x) :]]).sum(axis=1, dtype=np.int64)
+
+
+def similar_rows(a: pa.Array, b: pa.Array, percent: int = PERCENT) -> np.ndarray:
+    """``similar`` for each pair of texts, whose words are parted by single blanks."""
+    texts = pa.concat_arrays([x.cast(pa.large_string()) for x in (a, b)]).dictionary_encode()
+    split = pc.split_pattern(texts.dictionary, " ")
+    words = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int32)  # equal words, equal codes
+    begin = split.offsets.to_numpy().astype(np.int64)
+    size, which = np.diff(begin), texts.indices.to_numpy().astype(np.int64)
+    x, y = which[: len(a)], which[len(a) :]
+    most = np.maximum(size[x], size[y])
+    out = 100 * np.minimum(size[x], size[y]) >= percent * most
+    some = np.flatnonzero(out & (most <= MOST_WORDS))
+    some = some[np.argsort(most[some], kind="stable")]
+    at = 0
+    while at < len(some):
+        part = some[at : at + AT_ONCE]
+        out[part] = 100 * in_common(words, begin, x[part], y[part]) >= percent * most[part]
+        at, part = at + AT_ONCE, part[out[part]]
+        if len(part):
+            place = np.arange(int(most[part[-1]]))
+            grid = lambda i, none: np.where(place < size[i][:, None], words[np.minimum(begin[i][:, None] + place, len(words) - 1)], np.int32(none))
+            far = distances(grid(x[part], -1), grid(y[part], -2), size[x[part]], size[y[part]])
+            out[part] = 100 * (most[part] - far) >= percent * most[part]
+    for i in np.flatnonzero(out & (most > MOST_WORDS)).tolist():
+        out[i] = similar(*(words[begin[t] : begin[t + 1]].tolist() for t in (x[i], y[i])), percent)
+    return out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda x: texts.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([similar(x.split(" "), y.split(" ")) for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True)], pa.bool_())
+            keep = pa.array(similar_rows(batch.column("wa"), batch.column("wb")))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
     return rows.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
-def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, component`` of the distinct lines ``id, h1, sim, words, odd, doc_id, th, line`` that are similar to another."""
+def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, copied: bool, id_col: str, text_col: str) -> DataFrame:
+    """``id, component`` of the distinct lines ``id, h1, sim, words, doc_id, th, line`` and ODD that are similar to another.
+    ``copied``: whether rows share id and text."""
     entries = lines.agg(F.sum(F.ceil(F.col("words") * 2 * (100 - PERCENT) / 100) + 2)).first()[0] or 0
     met = staged(rare_pairs(docs, often, entries, text_col))
     shown = met.where(F.col("key").isNotNull())
@@ -353,14 +443,14 @@ def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, id_col: str, t
     ends = shown.select("h1", "lo", "hi").union(blocks.join(alike, ["i", "bits"]).select("h1", "lo", "hi"))
     star = ends.select("h1", F.explode(F.array("lo", "hi")).alias("end")).where("h1 <> end")
     star = star.select(F.least("h1", "end").alias("ha"), F.greatest("h1", "end").alias("hb")).union(direct).distinct()
-    side = lambda x: lines.select(F.col("h1").alias(f"h{x}"), F.col("id").alias(x), F.col("words").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
-    apart = " + ".join(f"bit_count(oa[{i}] ^ ob[{i}])" for i in range(CELLS // 64))
+    side = lambda x: lines.select(F.col("h1").alias(f"h{x}"), F.col("id").alias(x), F.col("words").alias(f"n{x}"), *(F.col(o).alias(f"{o}{x}") for o in ODD))
+    apart = " + ".join(f"bit_count({o}a ^ {o}b)" for o in ODD)
     bound = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and 100 * ({apart}) <= {2 * (100 - PERCENT)} * greatest(na, nb)")
     bounded = lambda pairs: pairs.join(side("a"), "ha").join(side("b"), "hb").where(bound).select("a", "b")
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         wanted = staged(lines.join(ids, "id", "left_semi").select("id", "doc_id", "th", "line"))
-        texts = staged(_texts(wanted, docs, id_col, text_col))
+        texts = staged(_texts(wanted, docs, copied, id_col, text_col))
         out = staged(_verified(pairs, texts))
         release(wanted, texts)
         return out
@@ -368,13 +458,13 @@ def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, id_col: str, t
     links = verified(pairs)
     found = components(links)
     # lines of one frequent key that are not yet in one group
-    now = lines.select("id", "h1", "words", "odd").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    now = lines.select("id", "h1", "words", *ODD).join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = staged(shown.select("key", "h1").distinct().join(now, "h1"))
     release(met, found)
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_ = staged(labelled.join(mixed, "key"))
     release(labelled)
-    sides = [open_.select("key", F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("words").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab"]
+    sides = [open_.select("key", F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("words").alias(f"n{x}"), *(F.col(o).alias(f"{o}{x}") for o in ODD)) for x in "ab"]
     rest = sides[0].join(sides[1], "key").where((F.expr("a < b and ca <> cb")) & bound).select("a", "b").distinct()
     rest = staged(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = verified(rest)
@@ -383,8 +473,8 @@ def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, id_col: str, t
     return out.select(F.col("node").alias("id"), "component")
 
 
-def _texts(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, words``: words of the lines, A-Z lower-cased, parted by blanks."""
+def _texts(wanted: DataFrame, docs: DataFrame, copied: bool, id_col: str, text_col: str) -> DataFrame:
+    """``id, words``: words of the lines, A-Z lower-cased, parted by blanks. ``copied``: whether rows share id and text."""
     key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.col("th")]
     per_doc = wanted.groupBy(*key).agg(F.collect_list(F.struct("line", "id")).alias("which"))
     rows = _keyed(docs, id_col, text_col)
@@ -394,30 +484,32 @@ def _texts(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     rows = rows.join(per_doc, ["k", "none", "th"])
     rows = rows.select(F.split("text", "\n").alias("lines"), F.explode("which").alias("x")).select("x.id", F.get("lines", F.col("x.line").cast("int")).alias("t"))
     plain = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return rows.dropDuplicates(["id"]).select("id", F.array_join(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), " ").alias("words"))
+    return (rows.dropDuplicates(["id"]) if copied else rows).select("id", F.array_join(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), " ").alias("words"))
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """Per row of ``docs``: struct ``kept`` of its columns, ``text`` without removed lines, ``n_lines, n_removed``."""
     occurring = staged(occurrences(docs, id_col, text_col))
     every = occurring.where(F.col("words").isNull())
-    place = F.struct("doc_id", "th", "line")
-    lines = every.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("n").alias("words"), F.first("odd").alias("odd"))
-    lines = staged(lines.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "at", "n", "sim", "words", "odd"))
-    long = lines.where(F.col("words") >= LEAST_FUZZY).select("id", "h1", "sim", "words", "odd", "at.doc_id", "at.th", "at.line")
-    groups = _groups(long, commonness(occurring), docs, id_col, text_col)
-    grouped = lines.select("id", "h1", "h2", "at", "n").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    first = grouped.groupBy("component").agg(F.min("at").alias("first"), F.sum("n").alias("of")).where("of > 1")
-    repeated = staged(grouped.join(first, "component").select("h1", "h2", "first"))
-    release(lines)
     key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.col("th")]
-    gone = every.join(repeated, ["h1", "h2"]).where("not (struct(doc_id, th, line) <=> first)")
-    gone = gone.groupBy(*key).agg(F.collect_set("line").alias("gone"))
     rows = _keyed(docs, id_col, text_col, row_of(docs).alias("kept"))
-    copies = rows.groupBy("k", "none", "th").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    copies = staged(rows.groupBy("k", "none", "th").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
+    one = [F.first(c).alias(c) for c in ("doc_id", "th", "line", "sim", *ODD)]  # of one occurrence
+    lines = every.groupBy("h1", "h2").agg(F.count("*").alias("of"), F.first("n").alias("words"), *one)
+    lines = staged(lines.select(F.monotonically_increasing_id().alias("id"), "*"))
+    long = lines.where(F.col("words") >= LEAST_FUZZY).drop("h2", "of")
+    groups = _groups(long, commonness(occurring), docs, bool(copies.take(1)), id_col, text_col)
+    grouped = lines.select("id", "h1", "h2", "of").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    many = grouped.groupBy("component").agg(F.sum("of").alias("all")).where("all > 1").select("component")
+    repeated = staged(grouped.join(many, "component").select("h1", "h2", "component"))
+    release(lines)
+    again = staged(every.join(repeated, ["h1", "h2"]).select("component", "doc_id", "th", "line"))
+    first = again.groupBy("component").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"))
+    gone = again.join(first, "component").where("not (struct(doc_id, th, line) <=> first)")
+    gone = gone.groupBy(*key).agg(F.collect_set("line").alias("gone"))
     worded = every.select(*key, "line").join(copies, ["k", "none", "th"], "left_semi").groupBy("k", "none", "th").agg(F.collect_set("line").alias("all"))
     drops = staged(gone.join(worded, ["k", "none", "th"], "full"))
-    release(occurring, repeated)
+    release(occurring, repeated, again, copies)
     lines_of = F.split("text", "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of)).cast("long").alias("n_lines")
     known = few(drops.select("th"))
