@@ -313,6 +313,34 @@ def distance(a, b):
     return row[-1]
 
 
+def test_edits_by_arrays_are_those_of_pairs():
+    rng = np.random.default_rng(7)
+    left, right = [], []
+    for n in (1, 4, 5, 12, 63, 64, 65, 128, 130, 300, 600):
+        for _ in range(25):
+            a = [f"w{i}" for i in rng.integers(0, 30, n)]
+            b = list(a)
+            for _ in range(rng.integers(0, n // 3 + 2)):
+                at = int(rng.integers(0, len(b)))
+                b[at : at + int(rng.integers(0, 2))] = [f"v{i}" for i in range(int(rng.integers(0, 2)) or int(len(b) == 1))]
+            left.append(" ".join(a))
+            right.append(" ".join(b))
+    found = lines.similar_rows(pa.array(left), pa.array(right))
+    assert found.tolist() == [lines.similar(a.split(" "), b.split(" ")) for a, b in zip(left, right, strict=True)]
+    assert 0 < found.sum() < len(found) and len(lines.similar_rows(pa.array([], pa.string()), pa.array([], pa.string()))) == 0
+
+
+def test_simhash_is_the_majority_of_each_bit():
+    rng = np.random.default_rng(8)
+    size = np.array([1, 0, 2, 255, 256, 700, 3])
+    hashes = rng.integers(0, 1 << 64, size.sum(), dtype=np.uint64)
+    last = np.cumsum(size)
+    found = lines.simhash(hashes, last - size, last)
+    for i, (a, b) in enumerate(zip(last - size, last, strict=True)):
+        words = [int(x) for x in hashes[a:b]]
+        assert int(found[i]) == sum(1 << bit for bit in range(64) if 2 * sum(w >> bit & 1 for w in words) > len(words))
+
+
 def test_edit_distance():
     rng = random.Random(7)
     for _ in range(300):

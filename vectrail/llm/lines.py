@@ -53,6 +53,8 @@ ANYWHERE, FREQUENT, SCALE = 255, 255, 24
 #: Words that a count of one byte holds; words of the lines whose edits are counted by arrays, pairs at once, and cells for
 #: the words that two of them share.
 MOST_COUNTED, MOST_WORDS, AT_ONCE, COMMON_CELLS = 255, 512, 1 << 10, 1 << 10
+#: Bytes of texts whose words are held at once.
+MOST_BYTES = 1 << 22
 #: Line hashes that a task remembers, so that copies aren't sent again.
 MOST_MET = 1 << 20
 
@@ -315,12 +317,12 @@ def rare_pairs(docs: DataFrame, often: np.ndarray, entries: int, text_col="text"
 
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences, by bit vectors."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
+    start, end, least = 0, 0, min(len(a), len(b))
+    while start < least and a[start] == b[start]:
         start += 1
-    a, b = a[start:], b[start:]
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return len(a) + len(b)
     where: dict = {}
@@ -423,8 +425,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array(similar_rows(batch.column("wa"), batch.column("wb")))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+            size = np.cumsum([pc.add(pc.binary_length(batch.column("wa")), pc.binary_length(batch.column("wb"))).to_numpy(zero_copy_only=False)], dtype=np.int64)
+            at = 0
+            while at < len(size):
+                end = max(at + 1, int(np.searchsorted(size, size[at] + MOST_BYTES)))
+                part, at = batch.slice(at, end - at), end
+                keep = pa.array(similar_rows(part.column("wa"), part.column("wb")))
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
     return rows.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
