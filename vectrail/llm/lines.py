@@ -13,10 +13,11 @@ SimHash of its distinct words, and lines that agree in one of BLOCKS blocks of i
 moved words early. SimHash alone can't propose all: at a similarity of 0.8 it differs in 13 of 64 bits on average, more than
 blocks that tell lines apart allow.
 
-Only groups are wanted, so the lines of a key of many lines meet two of them first; those that are not yet in one group are
-gone through again, pair by pair. Only pairs are verified that two exact bounds allow to be similar: the lengths, and the
-cells of a fixed number that hold an odd number of words of just one line, as each edit changes two of them at most. No
-bucket is capped.
+Only groups are wanted, so the lines of a key of many lines meet two of them first; those that are not yet in one group meet
+the line of their key and length that shows most such keys, and those still apart are gone through pair by pair. Only
+pairs are verified that exact bounds allow to be similar: the lengths, and the cells of a fixed number that hold an odd
+number of words of just one line. A replaced word changes two of them at most, an added or a dropped one a single cell, so
+these cells and the difference of the lengths come to no more than twice the edits. No bucket is capped.
 
 Defined results: null text has no lines and stays null; lines are parted by a line feed, and a text keeps the order and
 the form of the lines that stay; a null id sorts first; of rows with equal id and text one has its lines and the others
@@ -57,6 +58,8 @@ MOST_COUNTED, MOST_WORDS, AT_ONCE, COMMON_CELLS = 255, 512, 1 << 10, 1 << 10
 MOST_BYTES = 1 << 22
 #: Line hashes that a task remembers, so that copies aren't sent again.
 MOST_MET = 1 << 20
+#: Of a line's frequent keys, the least codes that tell under which of several keys a pair needn't come up again.
+LEAST_CODES = 8
 
 
 def simhash(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -452,7 +455,7 @@ def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, copied: bool,
     star = star.select(F.least("h1", "end").alias("ha"), F.greatest("h1", "end").alias("hb")).union(direct).distinct()
     side = lambda x: lines.select(F.col("h1").alias(f"h{x}"), F.col("id").alias(x), F.col("words").alias(f"n{x}"), *(F.col(o).alias(f"{o}{x}") for o in ODD))
     apart = " + ".join(f"bit_count({o}a ^ {o}b)" for o in ODD)
-    bound = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and 100 * ({apart}) <= {2 * (100 - PERCENT)} * greatest(na, nb)")
+    bound = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and 100 * ({apart} + abs(na - nb)) <= {2 * (100 - PERCENT)} * greatest(na, nb)")
     bounded = lambda pairs: pairs.join(side("a"), "ha").join(side("b"), "hb").where(bound).select("a", "b")
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -465,21 +468,71 @@ def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, copied: bool,
     links = verified(pairs)
     found = components(links)
     # lines of one frequent key that are not yet in one group
-    now = lines.select("id", "h1", "words", *ODD).join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = staged(shown.select("key", "h1").distinct().join(now, "h1"))
-    release(met, found)
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = staged(labelled.join(mixed, "key"))
-    release(labelled)
-    sides = [open_.select("key", F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("words").alias(f"n{x}"), *(F.col(o).alias(f"{o}{x}") for o in ODD)) for x in "ab"]
-    rest = sides[0].join(sides[1], "key").where((F.expr("a < b and ca <> cb")) & bound).select("a", "b").distinct()
-    rest = staged(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = verified(rest)
-    out = components(links.union(more))
-    release(open_, pairs, rest, links, more)
+    shown = staged(shown.select("key", "h1").distinct().join(lines.select("id", "h1", "words", *ODD), "h1").drop("h1"))
+    release(met, links)
+    open_ = staged(_open(shown, found))
+    release(shown)
+    near = _sides(open_)
+    hubs = near[1].groupBy("key", "scale").agg(F.max_by(F.struct("b", "cb", "nb", *(f"{o}b" for o in ODD)), F.struct("shows", "b")).alias("hub"))
+    hubs = hubs.select("key", F.explode(F.array(*(F.col("scale") + i for i in (-1, 0, 1)))).alias("scale"), "hub.*")
+    tried = near[0].join(hubs, ["key", "scale"]).where(F.expr("ca <> cb") & bound).select(*_ordered("a", "b")).distinct()
+    ordered = pairs.select(*_ordered("a", "b"))
+    tried = staged(tried.join(ordered, ["a", "b"], "left_anti"))
+    links = verified(tried)
+    before, found = found, _joined(found, links)
+    release(before, links)
+    entries = open_.select("id", "words", *ODD, F.explode("keys").alias("key"))
+    rest = staged(_open(entries, found))
+    release(open_)
+    sides = _sides(rest)
+    once = F.expr("coalesce(array_min(array_intersect(leasta, leastb)), code) >= code")
+    left = sides[0].join(sides[1].drop("code"), "key").where(F.expr("a < b and ca <> cb") & bound & once).select("a", "b").distinct()
+    left = staged(left.join(ordered.union(tried), ["a", "b"], "left_anti"))
+    release(pairs, tried, rest)
+    links = verified(left)
+    out = _joined(found, links)
+    release(found, left, links)
     return out.select(F.col("node").alias("id"), "component")
 
 
+def _ordered(a: str, b: str) -> tuple:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _open(shown: DataFrame, found: DataFrame) -> DataFrame:
+    """Of ``key, id, words`` and ODD: ``id, words, component, keys`` and ODD of lines with keys whose lines aren't all in one
+    group yet; ``keys`` are those keys."""
+    label = found.select(F.col("node").alias("id"), "component")
+    labelled = shown.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return labelled.join(mixed, "key").groupBy("id").agg(F.collect_list("key").alias("keys"), *(F.first(c).alias(c) for c in ("words", "component", *ODD)))
+
+
+def _sides(open_: DataFrame) -> list[DataFrame]:
+    """Both sides of a join by key of the lines in ``open_``: the line, its component, length and parities; its step on a
+    scale on which similar lines are a step apart at most, how many keys it has, the codes of the least of them, and that
+    of the key."""
+    codes = F.sort_array(F.transform("keys", lambda k: F.hash(k)))
+    scale = F.floor(F.log2("words") * (1 / np.log2(100 / PERCENT))).cast("int").alias("scale")
+    rows = open_.select("*", F.size("keys").alias("shows"), F.slice(codes, 1, LEAST_CODES).alias("least"), scale).select("*", F.explode("keys").alias("key"))
+    own = lambda x: [F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("words").alias(f"n{x}"), *(F.col(o).alias(f"{o}{x}") for o in ODD)]
+    return [rows.select("key", *own(x), F.col("least").alias(f"least{x}"), "shows", "scale", F.hash("key").alias("code")) for x in "ab"]
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups ``node, component`` in ``found`` after more ``links`` between their nodes or others, staged."""
+    for x in "ab":
+        label = found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        links = links.join(label, x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    over = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    into = over.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    known = found.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    new = over.join(found, "node", "left_anti").select("node", "component")
+    out = staged(known.union(new))
+    release(over)
+    return out
+
+
 def _texts(wanted: DataFrame, docs: DataFrame, copied: bool, id_col: str, text_col: str) -> DataFrame:
     """``id, words``: words of the lines, A-Z lower-cased, parted by blanks. ``copied``: whether rows share id and text."""
     key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.col("th")]
