@@ -558,10 +558,10 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     lines = every.groupBy("h1", "h2").agg(F.count("*").alias("of"), F.first("n").alias("words"), *one)
     lines = staged(lines.select(F.monotonically_increasing_id().alias("id"), "*"))
     long = lines.where(F.col("words") >= LEAST_FUZZY).drop("h2", "of")
-    groups = _groups(long, commonness(occurring), docs, bool(copies.take(1)), id_col, text_col)
-    grouped = lines.select("id", "h1", "h2", "of").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    many = grouped.groupBy("component").agg(F.sum("of").alias("all")).where("all > 1").select("component")
-    repeated = staged(grouped.join(many, "component").select("h1", "h2", "component"))
+    copied = bool(copies.take(1))
+    groups = _groups(long, commonness(occurring), docs, copied, id_col, text_col)
+    grouped = lines.select("id", "h1", "h2", "of").join(groups, "id", "left").where("component is not null or of > 1").withColumn("component", F.coalesce("component", "id"))
+    repeated = staged(grouped.select("h1", "h2", "component"))
     release(lines)
     again = staged(every.join(repeated, ["h1", "h2"]).select("component", "doc_id", "th", "line"))
     first = again.groupBy("component").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"))
@@ -577,8 +577,8 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     if known is not None:  # only texts that lose lines need to be dealt
         touched = rows.join(known, "th", "left_semi")
         untouched = rows.join(known, "th", "left_anti").select("kept", "text", n_lines, F.lit(0).cast("long").alias("n_removed"))
-    copy = Window.partitionBy("k", "none", "th").orderBy(F.lit(0))
-    touched = touched.join(drops, ["k", "none", "th"], "left").withColumn("i", F.row_number().over(copy))
+    copy = F.row_number().over(Window.partitionBy("k", "none", "th").orderBy(F.lit(0))) if copied else F.lit(1)
+    touched = touched.join(drops, ["k", "none", "th"], "left").withColumn("i", copy)
     drop = F.coalesce(F.when(F.col("i") > 1, F.col("all")).otherwise(F.col("gone")), F.array().cast("array<bigint>"))
     left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("lines") - F.lit(1).cast("long")), F.col("drop"))
     stay = F.array_join(F.transform(left, lambda i: F.get("lines", i.cast("int"))), "\n")
