@@ -1,6 +1,7 @@
 """Search, filters, builder, clustering, compression, changes, collections and streams on small inputs."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -96,6 +97,21 @@ def test_recall_of_registered_searches(spark):
     assert [r.method for r in found.collect() if r.recall < 0.9] == []
 
 
+def test_probes_are_chosen_in_little_driver_memory(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n, means = rng.normal(size=(640, 64)), rng.normal(size=(1024, 64))
+    rows = spark.createDataFrame([(i, v, i) for i, v in enumerate(means[:8].tolist())], "vec_id long, embedding array<double>, cluster int")
+    monkeypatch.setattr(ann, "calibration", lambda *a: (n + 0.01, n))
+    tracemalloc.start()
+    found = ann.ivf_search(ann.IvfIndex(list(enumerate(means.tolist())), rows, "vec_id", "embedding"), rows, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert found.count() <= 8
+    x = rng.normal(size=(600, 64))
+    assert (ann._nearest_cells(x, means)[:, 0] == ((x[:, None, :] - means[None]) ** 2).sum(2).argmin(1)).all()
+
+
 def test_repeated_ids_in_a_batch(spark):
     rows = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, s string, n int")
     new = spark.createDataFrame([(2, "x", 5), (2, "y", 6), (3, "p", 7), (3, "q", 8)], "id int, s string, n int").coalesce(1)
