@@ -393,6 +393,34 @@ def test_lines_of_a_key_meet(monkeypatch, few):
     assert bool(pairs) == (few == 64) or few == 2
 
 
+def test_lines_pairs_travel_packed():
+    """Direct pairs come as packed bytes, not as a row each; those that come up twice are found, whatever their order."""
+    rng = np.random.default_rng(6)
+    pairs = np.unique(rng.integers(1, 1 << 62, (3000, 2)), axis=0)
+    often = np.concatenate([pairs, pairs[:700], pairs[:90]])[rng.permutation(3790)]
+    met = pa.table({"key": pa.nulls(3790, pa.int64()), "h1": pa.nulls(3790, pa.int64()), "lo": often[:, 0], "hi": often[:, 1]})
+    parts = [lines._packed(met.slice(a, 1000), 8) for a in range(0, 3790, 1000)]
+    assert max(len(p) for p in parts) <= 8
+    every = pa.concat_tables(parts)
+    found = [lines._twice(every.filter(pa.compute.equal(every["at"], i))) for i in range(8)]
+    assert sorted((r["a"], r["b"]) for t in found for r in t.to_pylist()) == sorted(map(tuple, pairs[:700].tolist()))
+
+
+def test_lines_near_keys():
+    """Keys at places that edits explain are near; places that differ in front and, the other way, behind are not."""
+    key = lambda n, at: np.array([int(lines.length_code(np.array([n]))[0]) << 8 | at], np.uint64)
+    rng = np.random.default_rng(7)
+    for _ in range(500):
+        n = int(rng.integers(4, 240))
+        d = (100 - lines.PERCENT) * n // 100
+        before, behind = sorted(rng.integers(0, d + 1, 2))
+        at = int(rng.integers(0, n - 1))
+        lost = min(int(before), at), min(int(behind - before), n - 2 - at)  # words dropped in front and behind
+        assert lines._near(key(n, at), key(n - sum(lost), at - lost[0]))[0]
+    assert not lines._near(key(100, 50), key(100, 35))[0]  # 15 edits in front and 15 behind
+    assert lines._near(key(100, 50), key(100, lines.ANYWHERE))[0] and not lines._near(key(100, 50), key(60, lines.ANYWHERE))[0]
+
+
 def test_lines_edges(spark, edge_docs, no_docs):
     found = lines.deduplicated(edge_docs)
     assert found.count() == edge_docs.count() and lines.deduplicated(no_docs).count() == 0

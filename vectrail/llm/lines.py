@@ -9,12 +9,13 @@ Candidates only propose links and miss none. A line of n words shows its rarest
 0.4 n + 2 of them, in one order for all lines (by the commonness of the words in all documents, then by hash). An edit
 destroys two pairs at most, so lines that are similar have two of the shown ones in common, at places that differ by no
 more than the edits. Lines that share one key of many lines, or two others, are candidates. Each line also has a 64-bit
-SimHash of its distinct words, and lines that agree in one of BLOCKS blocks of it are proposed too, which joins copies with
-moved words early. SimHash alone can't propose all: at a similarity of 0.8 it differs in 13 of 64 bits on average, more than
+SimHash of its distinct words, and two of the lines that agree in one of BLOCKS blocks of it are proposed too, which joins
+many copies early. SimHash alone can't propose all: at a similarity of 0.8 it differs in 13 of 64 bits on average, more than
 blocks that tell lines apart allow.
 
 Only groups are wanted, so the lines of a key of many lines meet two of them first; those that are not yet in one group meet
-the line of their key and length that shows most such keys, and those still apart are gone through pair by pair. Only
+the line of their key and length that shows most such keys, and those still apart are gone through pair by pair among
+lengths that can be similar. Only
 pairs are verified that exact bounds allow to be similar: the lengths, and the cells of a fixed number that hold an odd
 number of words of just one line. A replaced word changes two of them at most, an added or a dropped one a single cell, so
 these cells and the difference of the lengths come to no more than twice the edits. No bucket is capped.
@@ -45,12 +46,13 @@ WORD_CELLS = 1 << 16
 #: Lines of fewer words are similar only if equal: a line of four and one of five words may differ by the fifth.
 LEAST_FUZZY = PERCENT // (100 - PERCENT)
 ODD = [f"odd{i}" for i in range(CELLS // 64)]
-#: Lines that agree in one of so many blocks of their SimHash are candidates: all that differ in fewer bits.
+#: Blocks of the SimHash.
 BLOCKS = 2
 #: Entries of a bucket, entries that a task holds before it sends them, lines of a key that meet each other there and then.
 BUCKET_ENTRIES, MOST_HELD, FEW = 1 << 18, 1 << 20, 64
-#: Codes of a position that says nothing and of a key that is sent in part; steps of the length's scale.
-ANYWHERE, FREQUENT, SCALE = 255, 255, 24
+#: Bits of the codes of a length and of a position in a key; codes of a position that says nothing and of a key that is sent
+#: in part; steps of the length's scale.
+CODE_BITS, ANYWHERE, FREQUENT, SCALE = 8, 255, 255, 24
 #: Words that a count of one byte holds; words of the lines whose edits are counted by arrays, pairs at once, and cells for
 #: the words that two of them share.
 MOST_COUNTED, MOST_WORDS, AT_ONCE, COMMON_CELLS = 255, 512, 1 << 10, 1 << 10
@@ -102,19 +104,33 @@ def parities(hashes: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(lines, CELLS), axis=1).view("<i8")
 
 
-def line_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each line's sequence of words."""
+_BASES = (BASE, 0xD1B54A32D192ED03)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, from the zeroth to the n-th at least; those of usual buffers are kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known[0]) <= n:
+        known = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            power = np.full(max(n + 1, 1 << 18), x, np.uint64)
+            power[0] = 1
+            known.append(np.multiply.accumulate(power))
+        known = known[0], known[1]
+        if n < 1 << 20:
+            _POWERS[base] = known
+    return known
+
+
+def line_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, of: int = 2) -> list[np.ndarray]:
+    """``of`` 64-bit hashes of each line's sequence of words, two at most."""
     found = []
-    for base in (BASE, 0xD1B54A32D192ED03):
-        up = np.full(len(hashes) + 1, base, np.uint64)
-        up[0] = 1
-        up = np.multiply.accumulate(up)
-        down = np.full(len(hashes) + 1, pow(base, -1, 1 << 64), np.uint64)
-        down[0] = 1
-        down = np.multiply.accumulate(down)
+    for base in _BASES[:of]:
+        up, down = _powers(base, len(hashes))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(base)) * up[: len(hashes)], dtype=np.uint64)])
         found.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
-    return found[0], found[1]
+    return found
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
@@ -124,8 +140,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, th, line, h1, h2, sim, n`` and ODD for every line of MIN_WORDS words or more; lines count from 0. Each task
-    adds one row that has only ``words``: how many words fall in each of WORD_CELLS cells, as bytes."""
+    """``doc_id, th, line, lead, h1, h2, sim, n`` and ODD for every line of MIN_WORDS words or more; lines count from 0, and
+    ``lead`` marks the first such line of each row. Each task adds one row that has only ``words``: how many words fall in each of WORD_CELLS cells, as bytes."""
     rows = _keyed(docs, id_col, text_col).select("doc_id", "th", "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(WORD_CELLS, np.int64)
@@ -153,12 +169,12 @@ def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 sim = simhash(own[once], upto[:-1], upto[1:])
                 take = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(number, pa.int64()), *(pa.array(x.view(np.int64)) for x in (h1, h2, sim)), pa.array(size, pa.int32()), *(pa.array(x) for x in np.ascontiguousarray(odd.T)), pa.nulls(len(size), pa.binary())],
+                    [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(number, pa.int64()), pa.array(np.diff(doc, prepend=-1) != 0), *(pa.array(x.view(np.int64)) for x in (h1, h2, sim)), pa.array(size, pa.int32()), *(pa.array(x) for x in np.ascontiguousarray(odd.T)), pa.nulls(len(size), pa.binary())],
                     names=schema.names,
                 )
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in schema.types[:-1]), pa.array([total.tobytes()], pa.binary())], names=schema.names)
-    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "th", "line", "h1", "h2", "sim")), ("n", pa.int32()), *((x, pa.int64()) for x in ODD), ("words", pa.binary())])
-    return rows.mapInArrow(run, f"doc_id long, th long, line long, h1 long, h2 long, sim long, n int, {' long, '.join(ODD)} long, words binary")
+    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "th", "line")), ("lead", pa.bool_()), *((x, pa.int64()) for x in ("h1", "h2", "sim")), ("n", pa.int32()), *((x, pa.int64()) for x in ODD), ("words", pa.binary())])
+    return rows.mapInArrow(run, f"doc_id long, th long, line long, lead boolean, h1 long, h2 long, sim long, n int, {' long, '.join(ODD)} long, words binary")
 
 
 def commonness(every: DataFrame) -> np.ndarray:
@@ -193,8 +209,9 @@ def length_code(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(n) * SCALE, FREQUENT - 1).astype(np.uint64)
 
 
-#: Codes of the lengths of similar lines differ by this at most.
-CODES_APART = int(np.ceil(SCALE * np.log2(100 / PERCENT)))
+#: The least and the greatest length of each code.
+SHORTEST = np.floor(np.exp2(np.arange(FREQUENT + 1) / SCALE)).astype(np.int64)
+LONGEST = np.append(np.ceil(np.exp2(np.arange(1, FREQUENT) / SCALE)).astype(np.int64), [1 << 40, 1 << 40])
 
 
 def _rarest(data: np.ndarray, often: np.ndarray, met: set) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +223,7 @@ def _rarest(data: np.ndarray, often: np.ndarray, met: set) -> tuple[np.ndarray,
     first = np.searchsorted(starts, np.concatenate([[0], ends[:-1] + 1]))
     last = np.searchsorted(starts, ends)
     long = np.flatnonzero(last - first >= LEAST_FUZZY)
-    h1, _ = line_hashes(hashes, first[long], last[long])
+    (h1,) = line_hashes(hashes, first[long], last[long], 1)
     if len(met) > MOST_MET:
         met.clear()
     fresh = np.array([not (h in met or met.add(h)) for h in h1.tolist()], bool)
@@ -219,10 +236,10 @@ def _rarest(data: np.ndarray, often: np.ndarray, met: set) -> tuple[np.ndarray,
     rare = often[(hashes % np.uint64(WORD_CELLS)).astype(np.int64)]
     rank = np.minimum(np.log2(rare[at]) + np.log2(rare[at + 1]), 63).astype(np.uint64)
     if len(h1) < 1 << 20:
-        by = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(38)) | (pair >> np.uint64(26)), kind="stable")
+        by = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(38)) | (pair >> np.uint64(26)))
     else:
         by = np.lexsort((pair >> np.uint64(26), rank, line))
-    pair, spot = pair[by], np.minimum((at - first[line])[by], ANYWHERE - 1)
+    pair, spot = pair[by], np.minimum((at - first[line])[by], ANYWHERE)
     place = np.arange(len(pair))
     new = np.ones(len(pair), bool)
     new[1:] = (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])
@@ -231,8 +248,8 @@ def _rarest(data: np.ndarray, often: np.ndarray, met: set) -> tuple[np.ndarray,
     again[:-1] |= again[1:]
     spot[again] = ANYWHERE
     take = place - begin[line] < needed(count + 1)[line] + 1
-    key = mix(pair + same.astype(np.uint64) * np.uint64(BASE)) & ~np.uint64(0xFFFF)
-    return (key | length_code(count + 1)[line] << np.uint64(8) | spot.astype(np.uint64))[take], h1[line[take]]
+    key, line, spot = pair[take] + same[take].astype(np.uint64) * np.uint64(BASE), line[take], spot[take]
+    return mix(key) & ~np.uint64((1 << 2 * CODE_BITS) - 1) | length_code(count + 1)[line] << np.uint64(CODE_BITS) | spot.astype(np.uint64), h1[line]
 
 
 def _bundled(keys: np.ndarray, lines: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -240,17 +257,16 @@ def _bundled(keys: np.ndarray, lines: np.ndarray, buckets: int) -> pa.RecordBatc
     apart, with the two as ``lo`` and ``hi``, so that no bucket gathers a frequent key."""
     by = np.argsort(keys)
     keys, lines = keys[by], lines[by]
-    plain = keys >> np.uint64(16)
+    plain = keys >> np.uint64(2 * CODE_BITS)
     first = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
     size = np.diff(np.append(first, len(keys)))
     often = np.repeat(size > FEW, size)
     end = np.zeros(len(keys), bool)
     end[first] = end[first + size - 1] = True
-    sent_keys, sent_lines = np.where(often, keys | np.uint64(FREQUENT << 8), keys)[~often | end], lines[~often | end]
-    to = ((sent_keys >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.diff(to[by])) + 1
-    rows = [(int(to[x[0]]), sent_keys[x].tobytes(), sent_lines[x].tobytes(), None, None) for x in np.split(by, cuts) if len(x)]
+    sent_keys, sent_lines = np.where(often, keys | np.uint64(FREQUENT << CODE_BITS), keys)[~often | end], lines[~often | end]
+    to = ((sent_keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # grows with the key
+    begin = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    rows = [(int(to[a]), sent_keys[a:b].tobytes(), sent_lines[a:b].tobytes(), None, None) for a, b in zip(begin, [*begin[1:], len(to)], strict=True)]
     if often.any():
         lo, hi = (np.repeat(lines[x], size)[often].tobytes() for x in (first, first + size - 1))
         rows.append((-1 - int(keys[0] >> np.uint64(34)), keys[often].tobytes(), lines[often].tobytes(), lo, hi))
@@ -258,55 +274,100 @@ def _bundled(keys: np.ndarray, lines: np.ndarray, buckets: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "keys", "lines", "lo", "hi"])
 
 
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lines with the keys ``x`` and ``y`` can be similar: what stands before the pair of words and what stands
+    behind it must differ in length by as much as the edits, together, at most."""
+    part = lambda k: (k & np.uint64((1 << CODE_BITS) - 1)).astype(np.int64)
+    n, m, i, j = part(x >> np.uint64(CODE_BITS)), part(y >> np.uint64(CODE_BITS)), part(x), part(y)
+    least, most = SHORTEST[n] - LONGEST[m], LONGEST[n] - SHORTEST[m]  # of the difference of the lengths
+    shift = np.where((i == ANYWHERE) | (j == ANYWHERE), np.clip(0, least, most), i - j)
+    edits = np.abs(shift) + np.maximum(0, np.maximum(least - shift, shift - most))
+    return 100 * edits <= (100 - PERCENT) * LONGEST[np.maximum(n, m)]
+
+
 def _met(rows: pa.Table) -> pa.Table:
     """Of a bucket's entries: pairs of lines ``lo, hi`` that a key of at most FEW lines brings together and that length and
     position allow to be similar; and ``key, h1, lo, hi`` of other keys, along whose ``lo`` and ``hi`` their lines connect."""
     read = lambda name: np.frombuffer(b"".join(rows.column(name).to_pylist()), np.uint64)
-    out: list[pa.Table] = []
-    def give(lo: np.ndarray, hi: np.ndarray, key: np.ndarray | None = None, h1: np.ndarray | None = None) -> None:
-        signed = lambda x: pa.nulls(len(lo), pa.int64()) if x is None else pa.array(x.view(np.int64))
-        out.append(pa.table({"key": signed(key), "h1": signed(h1), "lo": signed(lo), "hi": signed(hi)}))
+    def frequent_rows(*columns: np.ndarray) -> pa.Table:
+        return pa.table([pa.array(x.view(np.int64)) for x in columns], names=["key", "h1", "lo", "hi"])
     keys, lines = read("keys"), read("lines")
+    low = np.uint64(2 * CODE_BITS)
     if rows.column("bucket")[0].as_py() < 0:
-        give(read("lo"), read("hi"), keys >> np.uint64(16), lines)
-        return out[0]
-    by = np.lexsort((lines, keys >> np.uint64(16)))
+        return frequent_rows(keys >> low, lines, read("lo"), read("hi"))
+    by = np.argsort(keys >> low << low | lines >> np.uint64(64 - 2 * CODE_BITS))
     keys, lines = keys[by], lines[by]
-    plain = keys >> np.uint64(16)
+    plain = keys >> low
     once = np.ones(len(keys), bool)
     once[1:] = (plain[1:] != plain[:-1]) | (lines[1:] != lines[:-1])
-    marked = (keys >> np.uint64(8)) & np.uint64(255) == np.uint64(FREQUENT)
+    marked = (keys >> np.uint64(CODE_BITS)) & np.uint64(FREQUENT) == np.uint64(FREQUENT)
     frequent = np.unique(plain[marked])
     keys, lines, plain = keys[once], lines[once], plain[once]
     first = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
     size = np.diff(np.append(first, len(keys)))
     large = (size > FEW) | np.isin(plain[first], frequent)
     some = np.repeat(large, size)
-    give(np.repeat(lines[first], size)[some], np.repeat(lines[first + size - 1], size)[some], plain[some], lines[some])
-    code, spot = ((keys >> np.uint64(8)) & np.uint64(255)).astype(np.int16), (keys & np.uint64(255)).astype(np.int16)
-    most = np.exp2((code + 1) / SCALE) * (100 - PERCENT) / 100
+    out = [frequent_rows(plain[some], lines[some], np.repeat(lines[first], size)[some], np.repeat(lines[first + size - 1], size)[some])]
     left = np.repeat(np.where(large, 0, first + size), size)  # end of the entry's group
     at = np.arange(len(keys))
     for step in range(1, FEW):
         at = at[at + step < left[at]]
         if not len(at):
             break
-        x, y = at, at + step
-        near = np.abs(code[x] - code[y]) <= CODES_APART + 1
-        near &= (spot[x] == ANYWHERE) | (spot[y] == ANYWHERE) | (np.abs(spot[x] - spot[y]) <= np.maximum(most[x], most[y]))
-        give(lines[x[near]], lines[y[near]])
+        near = at[_near(keys[at], keys[at + step])]
+        x, y = lines[near], lines[near + step]
+        x, y = x[x != y], y[x != y]
+        none = pa.nulls(len(x), pa.int64())
+        out.append(pa.table([none, none, *(pa.array(z.view(np.int64)) for z in (np.minimum(x, y), np.maximum(x, y)))], names=["key", "h1", "lo", "hi"]))
     return pa.concat_tables(out)
 
 
+def _packed(met: pa.Table, buckets: int) -> pa.Table:
+    """The rows of ``_met`` with a key, and its pairs packed by the bucket ``at`` in which equal ones meet."""
+    plain = pc.is_null(met.column("key"))
+    out = met.filter(pc.invert(plain))
+    pairs = met.filter(plain)
+    out = [out.append_column("at", pa.nulls(len(out), pa.int64())).append_column("pairs", pa.nulls(len(out), pa.binary()))]
+    if len(pairs):
+        pairs = np.stack([pairs.column(c).to_numpy().view(np.uint64) for c in ("lo", "hi")], axis=1)
+        to = _pair_hashes(pairs) % np.uint64(buckets)
+        by = np.argsort(to)
+        pairs, to = pairs[by], to[by].astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        packed = pa.array([pairs[a:b].tobytes() for a, b in zip(begin, [*begin[1:], len(to)], strict=True)], pa.binary())
+        out.append(pa.table([*[pa.nulls(len(begin), pa.int64())] * 4, pa.array(to[begin]), packed], names=out[0].column_names))
+    return pa.concat_tables(out)
+
+
+def _pair_hashes(pairs: np.ndarray) -> np.ndarray:
+    return mix(pairs[:, 0] ^ mix(pairs[:, 1]))
+
+
+def _twice(rows: pa.Table) -> pa.Table:
+    """The pairs ``a, b`` that come up more than once in a bucket."""
+    pairs = np.frombuffer(b"".join(rows.column("pairs").to_pylist()), np.uint64).reshape(-1, 2)
+    hashes = _pair_hashes(pairs)
+    by = np.argsort(hashes)
+    hashes = hashes[by]
+    same = np.concatenate([[False], hashes[1:] == hashes[:-1]])
+    run = same.copy()
+    run[:-1] |= same[1:]
+    pairs, same = pairs[by[run]], same[run]
+    new = ~same
+    new[1:] |= (pairs[1:] != pairs[:-1]).any(axis=1)  # other pairs of the same hash
+    return pa.table({c: pa.array(np.ascontiguousarray(pairs[new, i]).view(np.int64)) for i, c in enumerate("ab")})
+
+
 def rare_pairs(docs: DataFrame, often: np.ndarray, entries: int, text_col="text") -> DataFrame:
-    """What ``_met`` finds for the rarest pairs of neighbouring words of each line. ``entries``: how many there are."""
+    """What ``_packed`` leaves of what ``_met`` finds for the rarest pairs of neighbouring words of each line. ``entries``: how many there are."""
     buckets = max(8, -(-entries // BUCKET_ENTRIES))
+    meet = max(8, buckets // 2)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set = set()
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for _, _, data, _ in chunks(batch.column("text")):
+            for _, _, data, _ in chunks(batch.column("text"), 1 << 17):
                 held.append(_rarest(data, often, met))
                 size += len(held[-1][0])
                 if size > MOST_HELD:
@@ -315,7 +376,7 @@ def rare_pairs(docs: DataFrame, often: np.ndarray, entries: int, text_col="text"
         if size:
             yield _bundled(*map(np.concatenate, zip(*held, strict=True)), buckets)
     sent = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket long, keys binary, lines binary, lo binary, hi binary")
-    return sent.groupBy("bucket").applyInArrow(_met, "key long, h1 long, lo long, hi long")
+    return sent.groupBy("bucket").applyInArrow(lambda rows: _packed(_met(rows), meet), "key long, h1 long, lo long, hi long, at long, pairs binary")
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -397,9 +458,9 @@ def in_common(words: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray
 
 
 def similar_rows(a: pa.Array, b: pa.Array, percent: int = PERCENT) -> np.ndarray:
-    """``similar`` for each pair of texts, whose words are parted by single blanks."""
+    """``similar`` for each pair of lines, by their words with A-Z lower-cased."""
     texts = pa.concat_arrays([x.cast(pa.large_string()) for x in (a, b)]).dictionary_encode()
-    split = pc.split_pattern(texts.dictionary, " ")
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.dictionary)))
     words = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int32)  # equal words, equal codes
     begin = split.offsets.to_numpy().astype(np.int64)
     size, which = np.diff(begin), texts.indices.to_numpy().astype(np.int64)
@@ -444,14 +505,13 @@ def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, copied: bool,
     entries = lines.agg(F.sum(F.ceil(F.col("words") * 2 * (100 - PERCENT) / 100) + 2)).first()[0] or 0
     met = staged(rare_pairs(docs, often, entries, text_col))
     shown = met.where(F.col("key").isNotNull())
-    order = [F.least("lo", "hi").alias("ha"), F.greatest("lo", "hi").alias("hb")]
-    direct = met.where(F.col("key").isNull()).groupBy(*order).agg(F.count("*").alias("c")).where("c > 1").select("ha", "hb")
+    direct = met.where(F.col("key").isNull()).select("at", "pairs").groupBy("at").applyInArrow(_twice, "a long, b long")
+    direct = direct.select(*(x(F.col("a"), F.col("b")).alias(c) for x, c in ((F.least, "ha"), (F.greatest, "hb"))))
     width = 64 // BLOCKS
     blocks = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("sim", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for i in range(BLOCKS)))
     blocks = lines.select("h1", F.explode(blocks).alias("block")).select("h1", "block.*")
-    alike = blocks.groupBy("i", "bits").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi")
-    ends = shown.select("h1", "lo", "hi").union(blocks.join(alike, ["i", "bits"]).select("h1", "lo", "hi"))
-    star = ends.select("h1", F.explode(F.array("lo", "hi")).alias("end")).where("h1 <> end")
+    alike = blocks.groupBy("i", "bits").agg(F.min("h1").alias("h1"), F.max("h1").alias("end")).select("h1", "end")
+    star = shown.select("h1", F.explode(F.array("lo", "hi")).alias("end")).union(alike).where("h1 <> end")
     star = star.select(F.least("h1", "end").alias("ha"), F.greatest("h1", "end").alias("hb")).union(direct).distinct()
     side = lambda x: lines.select(F.col("h1").alias(f"h{x}"), F.col("id").alias(x), F.col("words").alias(f"n{x}"), *(F.col(o).alias(f"{o}{x}") for o in ODD))
     apart = " + ".join(f"bit_count({o}a ^ {o}b)" for o in ODD)
@@ -468,9 +528,9 @@ def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, copied: bool,
     links = verified(pairs)
     found = components(links)
     # lines of one frequent key that are not yet in one group
-    shown = staged(shown.select("key", "h1").distinct().join(lines.select("id", "h1", "words", *ODD), "h1").drop("h1"))
+    shown = staged(shown.select("key", "h1").join(lines.select("id", "h1"), "h1").drop("h1"))
     release(met, links)
-    open_ = staged(_open(shown, found))
+    open_ = staged(_open(shown, found, lines))
     release(shown)
     near = _sides(open_)
     hubs = near[1].groupBy("key", "scale").agg(F.max_by(F.struct("b", "cb", "nb", *(f"{o}b" for o in ODD)), F.struct("shows", "b")).alias("hub"))
@@ -481,13 +541,13 @@ def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, copied: bool,
     links = verified(tried)
     before, found = found, _joined(found, links)
     release(before, links)
-    entries = open_.select("id", "words", *ODD, F.explode("keys").alias("key"))
-    rest = staged(_open(entries, found))
+    rest = staged(_open(open_.select("id", F.explode("keys").alias("key")), found, open_))
     release(open_)
     sides = _sides(rest)
     once = F.expr("coalesce(array_min(array_intersect(leasta, leastb)), code) >= code")
-    left = sides[0].join(sides[1].drop("code"), "key").where(F.expr("a < b and ca <> cb") & bound & once).select("a", "b").distinct()
-    left = staged(left.join(ordered.union(tried), ["a", "b"], "left_anti"))
+    longer = sides[1].drop("code").withColumn("scale", F.explode(F.array(F.col("scale"), F.col("scale") - 1)))
+    left = sides[0].join(longer, ["key", "scale"]).where(F.expr("(na < nb or na = nb and a < b) and ca <> cb") & bound & once)
+    left = staged(left.select(*_ordered("a", "b")).distinct().join(ordered.union(tried), ["a", "b"], "left_anti"))
     release(pairs, tried, rest)
     links = verified(left)
     out = _joined(found, links)
@@ -499,13 +559,14 @@ def _ordered(a: str, b: str) -> tuple:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _open(shown: DataFrame, found: DataFrame) -> DataFrame:
-    """Of ``key, id, words`` and ODD: ``id, words, component, keys`` and ODD of lines with keys whose lines aren't all in one
-    group yet; ``keys`` are those keys."""
+def _open(shown: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
+    """Of ``key, id``: ``id, words, component, keys`` and ODD of lines with keys whose lines aren't all in one group yet;
+    ``keys`` are those keys."""
     label = found.select(F.col("node").alias("id"), "component")
     labelled = shown.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return labelled.join(mixed, "key").groupBy("id").agg(F.collect_list("key").alias("keys"), *(F.first(c).alias(c) for c in ("words", "component", *ODD)))
+    still = labelled.join(mixed, "key").groupBy("id").agg(F.collect_set("key").alias("keys"), F.first("component").alias("component"))
+    return still.join(lines.select("id", "words", *ODD), "id")
 
 
 def _sides(open_: DataFrame) -> list[DataFrame]:
@@ -513,7 +574,7 @@ def _sides(open_: DataFrame) -> list[DataFrame]:
     scale on which similar lines are a step apart at most, how many keys it has, the codes of the least of them, and that
     of the key."""
     codes = F.sort_array(F.transform("keys", lambda k: F.hash(k)))
-    scale = F.floor(F.log2("words") * (1 / np.log2(100 / PERCENT))).cast("int").alias("scale")
+    scale = F.floor(F.log2("words") * ((1 - 1e-9) / np.log2(100 / PERCENT))).cast("int").alias("scale")  # rounding adds no step
     rows = open_.select("*", F.size("keys").alias("shows"), F.slice(codes, 1, LEAST_CODES).alias("least"), scale).select("*", F.explode("keys").alias("key"))
     own = lambda x: [F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("words").alias(f"n{x}"), *(F.col(o).alias(f"{o}{x}") for o in ODD)]
     return [rows.select("key", *own(x), F.col("least").alias(f"least{x}"), "shows", "scale", F.hash("key").alias("code")) for x in "ab"]
@@ -534,17 +595,16 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _texts(wanted: DataFrame, docs: DataFrame, copied: bool, id_col: str, text_col: str) -> DataFrame:
-    """``id, words``: words of the lines, A-Z lower-cased, parted by blanks. ``copied``: whether rows share id and text."""
+    """``id, words``: the lines as they stand. ``copied``: whether rows share id and text."""
     key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.col("th")]
     per_doc = wanted.groupBy(*key).agg(F.collect_list(F.struct("line", "id")).alias("which"))
     rows = _keyed(docs, id_col, text_col)
     known = few(wanted.select("th"))
     if known is not None:  # only their texts need to be dealt
         rows = rows.join(known, "th", "left_semi")
-    rows = rows.join(per_doc, ["k", "none", "th"])
+    rows = rows.join(per_doc.hint("shuffle_hash"), ["k", "none", "th"])
     rows = rows.select(F.split("text", "\n").alias("lines"), F.explode("which").alias("x")).select("x.id", F.get("lines", F.col("x.line").cast("int")).alias("t"))
-    plain = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return (rows.dropDuplicates(["id"]) if copied else rows).select("id", F.array_join(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), " ").alias("words"))
+    return (rows.dropDuplicates(["id"]) if copied else rows).select("id", F.col("t").alias("words"))
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -553,7 +613,7 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     every = occurring.where(F.col("words").isNull())
     key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.col("th")]
     rows = _keyed(docs, id_col, text_col, row_of(docs).alias("kept"))
-    copies = staged(rows.groupBy("k", "none", "th").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
+    copies = staged(every.where("lead").groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").drop("c"))
     one = [F.first(c).alias(c) for c in ("doc_id", "th", "line", "sim", *ODD)]  # of one occurrence
     lines = every.groupBy("h1", "h2").agg(F.count("*").alias("of"), F.first("n").alias("words"), *one)
     lines = staged(lines.select(F.monotonically_increasing_id().alias("id"), "*"))
@@ -578,7 +638,7 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
         touched = rows.join(known, "th", "left_semi")
         untouched = rows.join(known, "th", "left_anti").select("kept", "text", n_lines, F.lit(0).cast("long").alias("n_removed"))
     copy = F.row_number().over(Window.partitionBy("k", "none", "th").orderBy(F.lit(0))) if copied else F.lit(1)
-    touched = touched.join(drops, ["k", "none", "th"], "left").withColumn("i", copy)
+    touched = touched.join(drops.hint("shuffle_hash"), ["k", "none", "th"], "left").withColumn("i", copy)
     drop = F.coalesce(F.when(F.col("i") > 1, F.col("all")).otherwise(F.col("gone")), F.array().cast("array<bigint>"))
     left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("lines") - F.lit(1).cast("long")), F.col("drop"))
     stay = F.array_join(F.transform(left, lambda i: F.get("lines", i.cast("int"))), "\n")

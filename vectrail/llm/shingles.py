@@ -63,12 +63,12 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows from, to, the bytes of their texts, each with a line feed after it, and where each begins; null is empty."""
+def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows from, to, the bytes of their texts (some ``most`` at once), each with a line feed after it, and where each begins; null is empty."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64) + 1)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
         parts = column.slice(a, b - a).to_pylist()
         data = ("\n".join(x or "" for x in parts) + "\n").encode()
         begin = np.concatenate([[0], ends[a : b - 1] - (ends[a - 1] if a else 0)])
