@@ -269,6 +269,21 @@ def test_near_duplicates_edges(spark, edge_docs, no_docs):
     assert ids.count(2) == 0 and ids.count(1) == 1 and {4, 5, 6} <= set(ids)
 
 
+def test_near_duplicates_after_candidates_read_only_documents_that_meet(spark, monkeypatch):
+    """A pair, sets and representatives must cost no work on documents that meet no other, nor a loop of jobs for few links."""
+    rng = random.Random(8)
+    alone = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame([*enumerate([*alone, alone[0] + " x", alone[1]]), (99, None), (98, " ")], "doc_id long, text string")
+    seen, rounds = [], []
+    likely, staged = near_duplicates.likely, components.staged
+    monkeypatch.setattr(near_duplicates, "likely", lambda pairs, nodes, percent: seen.append(nodes.count()) or likely(pairs, nodes, percent))
+    monkeypatch.setattr(components, "staged", lambda df: rounds.append(df) or staged(df))
+    kept = near_duplicates.representatives(docs, 5, 80)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(40), 98, 99]
+    assert seen == [2, 2, 2] and len(rounds) == 6
+    assert "regexp_count" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(6)
     for shared in (300, 700, 900):
@@ -292,6 +307,19 @@ def test_words_across_segments(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, parts)) and len(whole[0]) == len(text.split())
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_by_driver_and_by_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    rng = random.Random(few)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(50)] + [(7, 7), (-5, 1 << 62)]
+    names = sorted({x for e in edges if e[0] != e[1] for x in e})
+    at = {x: i for i, x in enumerate(names)}
+    group = groups(len(names), [(at[a], at[b]) for a, b in edges if a != b])
+    least = {g: min(names[i] for i in range(len(names)) if group[i] == g) for g in set(group)}
+    found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in found) == [(x, least[group[i]]) for i, x in enumerate(names)]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(501, 560)]

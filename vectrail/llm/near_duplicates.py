@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, few, release, row_of, staged, table, word_count
+from .common import WORD, few, release, row_of, staged, table
 from .components import components
 from .shingles import chunks, mix, shingle_sets
 
@@ -47,6 +47,8 @@ DOUBT = 25.0
 LEADS = 3
 SEED = 11
 PARITIES = 1024
+#: Finds the first character of a word, which costs less than a count of the words.
+NOT_BLANK = WORD.removesuffix("+")
 _SALT = np.random.default_rng(SEED).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Set elements that are hashed at once.
 PART = 1 << 16
@@ -187,34 +189,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col="doc_
     """``doc_id, th, n, component, component_id`` per row of ``docs``; ``percent`` is the least similarity in hundredths."""
     sketches = staged(sketched(docs, k, id_col, text_col))
     rows = staged(sketches.select("doc_id", "th", "n", "fp"))
-    named = sketches.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("from"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("odd").alias("odd"))
-    nodes = staged(named.select(F.monotonically_increasing_id().alias("node"), "fp", "least", "from.doc_id", "from.th", "n", "bands", "registers", "odd"))
+    first = sketches.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("from"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("odd").alias("odd"))
+    every = staged(first.select(F.monotonically_increasing_id().alias("node"), "fp", "least", "from.doc_id", "from.th", "n", "bands", "registers", "odd"))
     release(sketches)
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    banded = every.select("node", F.explode("bands").alias("key"))
     met = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = staged(banded.join(met, "key"))
     weights = met.groupBy("node").agg(F.sum("c").alias("w"))
     first = met.join(weights, "node").groupBy("key").agg(F.max(F.struct("w", F.col("node").alias("lead"))).alias("x")).select("key", "x.lead")
     pairs = met.join(first, "key").where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-    wanted = staged(met.select("node").distinct().join(nodes.select("node", "doc_id", "th", "fp"), "node"))
-    sets = staged(full_sets(docs, wanted, k, id_col, text_col))
+    nodes = staged(met.select("node").distinct().join(every, "node"))  # most meet no other; what follows is about the rest
+    sets = staged(full_sets(docs, nodes.select("node", "doc_id", "th", "fp"), k, id_col, text_col))
     tested = staged(likely(pairs, nodes, percent))
     first_links = staged(verified(tested, sets, percent))
     found = components(first_links)
     able = _open(met, found, sets, nodes, percent)
-    release(wanted, met, found)
+    release(met, found)
     fresh = staged(_against_leads(able, tested, nodes, percent))
     links = staged(first_links.union(verified(fresh, sets, percent)))
     found = components(links)
     rest = _rest(able, found, tested.union(fresh), nodes, percent)
-    every = staged(links.union(verified(rest, sets, percent)))
-    release(sets, tested, fresh, rest, able, first_links, links, found)
-    found = components(every)
-    release(every)
-    of_node = nodes.select("node", "fp", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    last_links = staged(links.union(verified(rest, sets, percent)))
+    release(sets, tested, fresh, rest, able, first_links, links, found, nodes)
+    found = components(last_links)
+    release(last_links)
+    of_node = every.select("node", "fp", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = staged(of_node.join(least, "component").select("fp", "component", "component_id"))
-    release(nodes, found)
+    release(every, found)
     out = rows.join(of_set, "fp", "left")
     return out.select("doc_id", "th", "n", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -275,18 +277,20 @@ def _rest(able: DataFrame, found: DataFrame, tested: DataFrame, nodes: DataFrame
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one of least id (then text hash); rows without words all stay."""
-    rows = staged(near_duplicates(docs, k, percent, id_col, text_col).where("n > 0").groupBy("component", "doc_id", "th").agg(F.count("*").alias("n")))
-    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("x"))
+    rows = staged(near_duplicates(docs, k, percent, id_col, text_col).where("n > 0").select("component", "doc_id", "th"))
+    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.count("*").alias("c")).where("c > 1")  # most are alone
     best = best.select("component", F.col("x.doc_id").alias("first_id"), F.col("x.th").alias("first_th"))
     judged = rows.join(best, "component").withColumn("stays", F.expr("doc_id <=> first_id and th = first_th"))
+    judged = judged.groupBy("component", "doc_id", "th", "stays").agg(F.count("*").alias("n"))
     touched = staged(judged.where("not stays or n > 1").select("doc_id", "th", "stays"))  # members of groups of several rows
     release(rows)
-    whole = docs.select(row_of(docs).alias("kept"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), word_count(F.col(text_col)).alias("words"))
-    worded, alone = whole.where("words > 0"), whole.where("words = 0")
+    whole = docs.select(row_of(docs).alias("kept"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.coalesce(F.col(text_col).rlike(NOT_BLANK), F.lit(False)).alias("worded"))
+    worded, alone = whole.where("worded"), whole.where("not worded")
     known = few(touched.select("th"))
-    if known is not None:  # only rows of groups need to be dealt
-        alone = alone.unionByName(worded.join(known, "th", "left_anti").select(whole.columns))
-        worded = worded.join(known, "th", "left_semi")
+    if known is not None:  # only rows of groups need to be dealt; the others pass in one scan
+        met = known.withColumnRenamed("th", "of")
+        alone = whole.join(met, F.col("worded") & (F.col("th") == F.col("of")), "left_anti")
+        worded = worded.join(met, F.col("th") == F.col("of"), "left_semi")
     met = worded.alias("d").join(touched.alias("w"), F.expr("d.th = w.th and d.doc_id <=> w.doc_id"), "left").where("coalesce(stays, true)").select("kept", "d.doc_id", "d.th")
     one = met.withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(F.lit(0)))).where("i = 1")
     return one.select("kept.*").union(alone.select("kept.*"))
