@@ -488,6 +488,65 @@ def test_lines_link_at_any_simhash_distance(spark):
     assert found == set(first.values())
 
 
+
+def test_lines_of_frequent_keys_meet_in_arrays(spark, monkeypatch):
+    """Each pair within the bound comes up, also where a key's lines are dealt into parts; else its key is named and the rest follows."""
+    rng = np.random.default_rng(5)
+    texts = [[f"w{x}" for x in rng.integers(0, 4000, int(rng.integers(8, 40)))] for _ in range(12)]
+    texts = [" ".join(t[:i] + ["new"] + t[i + 1 :]) for t in texts for i in (0, 1, 2, 3, 5, 7)]
+    made = lines.occurrences(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).where("words is null")
+    made = lines.staged(made.select(F.col("doc_id").alias("id"), "h1", F.col("n").alias("words"), "doc_id", "th", "at", "bytes", "sim", *lines.ODD))
+    shown = lines.staged(made.select((F.col("id") % 2).alias("key"), "h1").union(made.select(F.lit(7), "h1").where("id < 30")))
+    sizes = shown.groupBy("key").count()
+    rows = {r.id: r for r in made.collect()}
+    def near(x, y):
+        apart = sum(((int(x[o]) ^ int(y[o])) & (1 << 64) - 1).bit_count() for o in lines.ODD)
+        long = max(x.words, y.words)
+        return 100 * min(x.words, y.words) >= lines.PERCENT * long and 100 * (apart + abs(x.words - y.words)) <= 2 * (100 - lines.PERCENT) * long
+    want = {(a, b) for a in rows for b in rows if a < b and (a % 2 == b % 2 or b < 30) and near(rows[a], rows[b])}
+    assert len(want) > 50
+    own = spark.createDataFrame([(i, i) for i in rows], "node long, component long")
+    for cell in (1 << 13, 8):
+        monkeypatch.setattr(lines, "MOST_CELL", cell)
+        found = lines._meeting(shown, sizes, made, None).collect()
+        assert {(r.a, r.b) for r in found if r.key is None} == want and not [r for r in found if r.key is not None]
+        monkeypatch.setattr(lines, "MOST_FIRST", 1)
+        found = lines._meeting(shown, sizes, made, None).collect()
+        few, dense = {(r.a, r.b) for r in found if r.key is None}, {r.key for r in found if r.key is not None}
+        assert few < want and dense
+        rest = {(r.a, r.b) for r in lines._meeting(shown.where(F.col("key").isin(*dense)), sizes, made, own).collect()}
+        assert few | rest == want
+        monkeypatch.setattr(lines, "MOST_FIRST", 16)
+
+
+def test_lines_edits_at_most():
+    """The quick bound is never below the distance, and tells a line with one word dropped or some replaced."""
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(300):
+        a = [rng.randrange(4) for _ in range(rng.randint(1, 14))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [rng.randrange(4)][: rng.randint(0, 1)]
+        pairs.append((a, b or [0]))
+    texts = [t for p in pairs for t in p]
+    begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    x = np.arange(0, len(texts), 2)
+    found = lines.at_most(np.concatenate(texts).astype(np.int32), begin, x, x + 1).tolist()
+    assert all(f >= distance(a, b) for f, (a, b) in zip(found, pairs, strict=True))
+    assert sum(f == distance(a, b) for f, (a, b) in zip(found, pairs, strict=True)) > 150
+    words = np.array([1, 2, 3, 4, 5, 1, 2, 4, 5, 9, 2, 8, 4, 5], np.int32)
+    assert lines.at_most(words, np.array([0, 5, 9, 14]), np.array([0, 0]), np.array([1, 2])).tolist() == [1, 2]
+
+
+def test_lines_know_their_bytes(spark):
+    text = "één, zwei\n\n  drei vier \nfünf"
+    rows = lines.occurrences(spark.createDataFrame([(1, text), (2, None), (3, "x\n" + text)], "doc_id long, text string")).where("words is null").collect()
+    source = {1: text, 3: "x\n" + text}
+    assert len(rows) == 7 and all(source[r.doc_id].encode()[r["at"] : r["at"] + r["bytes"]].decode() == source[r.doc_id].split("\n")[r.line] for r in rows)
+
+
 # packing
 def test_best_fit():
     rng = random.Random(3)

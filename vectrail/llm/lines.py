@@ -9,13 +9,12 @@ Candidates only propose links and miss none. A line of n words shows its rarest
 0.4 n + 2 of them, in one order for all lines (by the commonness of the words in all documents, then by hash). An edit
 destroys two pairs at most, so lines that are similar have two of the shown ones in common, at places that differ by no
 more than the edits. Lines that share one key of many lines, or two others, are candidates. Each line also has a 64-bit
-SimHash of its distinct words, and two of the lines that agree in one of BLOCKS blocks of it are proposed too, which joins
+SimHash of its words, and two of the lines that agree in one of BLOCKS blocks of it are proposed too, which joins
 many copies early. SimHash alone can't propose all: at a similarity of 0.8 it differs in 13 of 64 bits on average, more than
 blocks that tell lines apart allow.
 
-Only groups are wanted, so the lines of a key of many lines meet two of them first; those that are not yet in one group meet
-the line of their key and length that shows most such keys, and those still apart are gone through pair by pair among
-lengths that can be similar. Only
+Only groups are wanted, so of the lines of a key of many lines each meets a few others that the bounds below allow to be
+similar; where there are more, those that are then still in different groups meet all. Only
 pairs are verified that exact bounds allow to be similar: the lengths, and the cells of a fixed number that hold an odd
 number of words of just one line. A replaced word changes two of them at most, an added or a dropped one a single cell, so
 these cells and the difference of the lengths come to no more than twice the edits. No bucket is capped.
@@ -35,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, few, quoted, release, row_of, staged, table
+from .common import WORD, few, let, quoted, release, row_of, staged, table
 from .components import components
 from .shingles import BASE, chunks, mix, words_of
 
@@ -55,13 +54,14 @@ BUCKET_ENTRIES, MOST_HELD, FEW = 1 << 18, 1 << 20, 64
 CODE_BITS, ANYWHERE, FREQUENT, SCALE = 8, 255, 255, 24
 #: Words that a count of one byte holds; words of the lines whose edits are counted by arrays, pairs at once, and cells for
 #: the words that two of them share.
-MOST_COUNTED, MOST_WORDS, AT_ONCE, COMMON_CELLS = 255, 512, 1 << 10, 1 << 10
+MOST_COUNTED, MOST_WORDS, AT_ONCE, COMMON_CELLS = 255, 512, 1 << 12, 1 << 8
 #: Bytes of texts whose words are held at once.
 MOST_BYTES = 1 << 22
 #: Line hashes that a task remembers, so that copies aren't sent again.
 MOST_MET = 1 << 20
-#: Of a line's frequent keys, the least codes that tell under which of several keys a pair needn't come up again.
-LEAST_CODES = 8
+#: Entries of frequent keys that a task compares at least; lines of a key that are compared in one piece; lines that meet all
+#: others of a key at once; others of a key that a line meets before groups are known.
+MOST_DEALT, MOST_CELL, AT_LENGTH, MOST_FIRST = 1 << 17, 1 << 13, 64, 16
 
 
 def simhash(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -89,19 +89,10 @@ def simhash(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
     return out
 
 
-def distinct(hashes: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Marks one word of each kind in a line; ``line`` is the line's number for each word."""
-    key = hashes ^ mix(line.astype(np.uint64) + np.uint64(1))
-    by = np.argsort(key)
-    out = np.ones(len(key), bool)
-    out[by[1:][key[by[1:]] == key[by[:-1]]]] = False
-    return out
-
-
 def parities(hashes: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
     """Per line, which of CELLS cells hold an odd number of its words, as longs of 64 bits."""
-    odd = np.bincount(line * CELLS + (hashes >> np.uint64(20)).astype(np.int64) % CELLS, minlength=lines * CELLS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(lines, CELLS), axis=1).view("<i8")
+    odd = np.bincount(line * CELLS + (hashes >> np.uint64(20)).astype(np.int64) % CELLS, minlength=lines * CELLS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(lines, CELLS), axis=1).view("<i8")
 
 
 _BASES = (BASE, 0xD1B54A32D192ED03)
@@ -140,7 +131,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, th, line, lead, h1, h2, sim, n`` and ODD for every line of MIN_WORDS words or more; lines count from 0, and
+    """``doc_id, th, line, at, bytes, lead, h1, h2, sim, n`` and ODD for every line of MIN_WORDS words or more; lines count from 0,
+    ``at`` and ``bytes`` are the line's first byte in the text and its size, and
     ``lead`` marks the first such line of each row. Each task adds one row that has only ``words``: how many words fall in each of WORD_CELLS cells, as bytes."""
     rows = _keyed(docs, id_col, text_col).select("doc_id", "th", "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +140,12 @@ def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         for batch in batches:
             for a, b, data, begin in chunks(batch.column("text")):
                 starts, hashes = words_of(data)
-                total += np.bincount((hashes % np.uint64(WORD_CELLS)).astype(np.int64), minlength=WORD_CELLS)
+                total += np.bincount((hashes & np.uint64(WORD_CELLS - 1)).astype(np.int64), minlength=WORD_CELLS)
                 ends = np.flatnonzero(data == 10)
                 first = np.searchsorted(starts, np.concatenate([[0], ends[:-1] + 1]))
                 last = np.searchsorted(starts, ends)
                 opening = np.concatenate([[0], ends[:-1] + 1])
-                doc = np.searchsorted(begin, opening, "right") - 1
+                doc = every = np.searchsorted(begin, opening, "right") - 1
                 number = np.arange(len(ends)) - np.searchsorted(opening, begin)[doc]
                 long = np.flatnonzero(last - first >= MIN_WORDS)
                 first, last, doc, number = first[long], last[long], doc[long], number[long]
@@ -164,17 +156,15 @@ def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 line = np.repeat(np.arange(len(long)), size)
                 own = hashes[np.arange(len(line)) + np.repeat(first - (np.cumsum(size) - size), size)]
                 odd = parities(own, line, len(long))
-                once = distinct(own, line)
-                upto = np.concatenate([[0], np.cumsum(np.bincount(line[once], minlength=len(long)))])
-                sim = simhash(own[once], upto[:-1], upto[1:])
+                sim = simhash(hashes, first, last)
                 take = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(number, pa.int64()), pa.array(np.diff(doc, prepend=-1) != 0), *(pa.array(x.view(np.int64)) for x in (h1, h2, sim)), pa.array(size, pa.int32()), *(pa.array(x) for x in np.ascontiguousarray(odd.T)), pa.nulls(len(size), pa.binary())],
+                    [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(number, pa.int64()), *(pa.array(x[long], pa.int32()) for x in (opening - begin[every], ends - opening)), pa.array(np.diff(doc, prepend=-1) != 0), *(pa.array(x.view(np.int64)) for x in (h1, h2, sim)), pa.array(size, pa.int32()), *(pa.array(x) for x in np.ascontiguousarray(odd.T)), pa.nulls(len(size), pa.binary())],
                     names=schema.names,
                 )
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in schema.types[:-1]), pa.array([total.tobytes()], pa.binary())], names=schema.names)
-    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "th", "line")), ("lead", pa.bool_()), *((x, pa.int64()) for x in ("h1", "h2", "sim")), ("n", pa.int32()), *((x, pa.int64()) for x in ODD), ("words", pa.binary())])
-    return rows.mapInArrow(run, f"doc_id long, th long, line long, lead boolean, h1 long, h2 long, sim long, n int, {' long, '.join(ODD)} long, words binary")
+    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "th", "line")), *((x, pa.int32()) for x in ("at", "bytes")), ("lead", pa.bool_()), *((x, pa.int64()) for x in ("h1", "h2", "sim")), ("n", pa.int32()), *((x, pa.int64()) for x in ODD), ("words", pa.binary())])
+    return rows.mapInArrow(run, f"doc_id long, th long, line long, at int, bytes int, lead boolean, h1 long, h2 long, sim long, n int, {' long, '.join(ODD)} long, words binary")
 
 
 def commonness(every: DataFrame) -> np.ndarray:
@@ -214,9 +204,9 @@ SHORTEST = np.floor(np.exp2(np.arange(FREQUENT + 1) / SCALE)).astype(np.int64)
 LONGEST = np.append(np.ceil(np.exp2(np.arange(1, FREQUENT) / SCALE)).astype(np.int64), [1 << 40, 1 << 40])
 
 
-def _rarest(data: np.ndarray, often: np.ndarray, met: set) -> tuple[np.ndarray, np.ndarray]:
+def _rarest(data: np.ndarray, weight: np.ndarray, met: set) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the word pairs that the lines of a buffer show, and the hash of the line of each; lines in ``met`` are left
-    out, and new ones are added to it. A pair that a line repeats has a key each time. A key is 48 bits of hash, 8 of the
+    out, and new ones are added to it. ``weight``: the logarithm of the commonness of the words of each cell. A pair that a line repeats has a key each time. A key is 48 bits of hash, 8 of the
     line's length and 8 of the pair's position."""
     starts, hashes = words_of(data)
     ends = np.flatnonzero(data == 10)
@@ -233,8 +223,8 @@ def _rarest(data: np.ndarray, often: np.ndarray, met: set) -> tuple[np.ndarray,
     begin = np.cumsum(count) - count
     at = np.arange(len(line)) + np.repeat(first - begin, count)
     pair = mix(hashes[at] * np.uint64(BASE) + hashes[at + 1])
-    rare = often[(hashes % np.uint64(WORD_CELLS)).astype(np.int64)]
-    rank = np.minimum(np.log2(rare[at]) + np.log2(rare[at + 1]), 63).astype(np.uint64)
+    own = weight[(hashes & np.uint64(WORD_CELLS - 1)).astype(np.int64)]
+    rank = np.minimum(own[at] + own[at + 1], 63).astype(np.uint64)
     if len(h1) < 1 << 20:
         by = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(38)) | (pair >> np.uint64(26)))
     else:
@@ -364,11 +354,12 @@ def rare_pairs(docs: DataFrame, often: np.ndarray, entries: int, text_col="text"
     meet = max(8, buckets // 2)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set = set()
+        weight = np.log2(often)
         held: list[tuple] = []
         size = 0
         for batch in batches:
             for _, _, data, _ in chunks(batch.column("text"), 1 << 17):
-                held.append(_rarest(data, often, met))
+                held.append(_rarest(data, weight, met))
                 size += len(held[-1][0])
                 if size > MOST_HELD:
                     yield _bundled(*map(np.concatenate, zip(*held, strict=True)), buckets)
@@ -457,6 +448,20 @@ def in_common(words: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray
     return np.minimum(counts[where[: len(x)]], counts[where[len(x) :]]).sum(axis=1, dtype=np.int64)
 
 
+def at_most(words: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Edits that turn the texts ``x`` into ``y`` (as in ``in_common``), maybe more than needed: what stands between equal
+    beginnings and ends is replaced, or, of equal lengths, each word that differs."""
+    n, m = (np.diff(begin)[i] for i in (x, y))
+    least, place = np.minimum(n, m), np.arange(max(int(np.minimum(n, m).max(initial=0)), 1))
+    inside = place < least[:, None]
+    word = lambda at: words[np.clip(at, 0, len(words) - 1)]
+    differ = inside & (word(begin[x][:, None] + place) != word(begin[y][:, None] + place))
+    behind = inside & (word(begin[x + 1][:, None] - 1 - place) != word(begin[y + 1][:, None] - 1 - place))
+    start, end = (np.where(d.any(axis=1), d.argmax(axis=1), least) for d in (differ, behind))
+    far = np.maximum(n, m) - np.minimum(start + end, least)
+    return np.where(n == m, np.minimum(far, differ.sum(axis=1)), far)
+
+
 def similar_rows(a: pa.Array, b: pa.Array, percent: int = PERCENT) -> np.ndarray:
     """``similar`` for each pair of lines, by their words with A-Z lower-cased."""
     texts = pa.concat_arrays([x.cast(pa.large_string()) for x in (a, b)]).dictionary_encode()
@@ -472,8 +477,10 @@ def similar_rows(a: pa.Array, b: pa.Array, percent: int = PERCENT) -> np.ndarray
     at = 0
     while at < len(some):
         part = some[at : at + AT_ONCE]
+        at += AT_ONCE
+        part = part[100 * at_most(words, begin, x[part], y[part]) > (100 - percent) * most[part]]  # the others are similar
         out[part] = 100 * in_common(words, begin, x[part], y[part]) >= percent * most[part]
-        at, part = at + AT_ONCE, part[out[part]]
+        part = part[out[part]]
         if len(part):
             place = np.arange(int(most[part[-1]]))
             grid = lambda i, none: np.where(place < size[i][:, None], words[np.minimum(begin[i][:, None] + place, len(words) - 1)], np.int32(none))
@@ -500,84 +507,112 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, copied: bool, id_col: str, text_col: str) -> DataFrame:
-    """``id, component`` of the distinct lines ``id, h1, sim, words, doc_id, th, line`` and ODD that are similar to another.
+    """``id, component`` of the distinct lines ``id, h1, sim, words, doc_id, th, at, bytes`` and ODD that are similar to another.
     ``copied``: whether rows share id and text."""
     entries = lines.agg(F.sum(F.ceil(F.col("words") * 2 * (100 - PERCENT) / 100) + 2)).first()[0] or 0
     met = staged(rare_pairs(docs, often, entries, text_col))
-    shown = met.where(F.col("key").isNotNull())
+    shown = met.where(F.col("key").isNotNull()).select("key", "h1")
     direct = met.where(F.col("key").isNull()).select("at", "pairs").groupBy("at").applyInArrow(_twice, "a long, b long")
     direct = direct.select(*(x(F.col("a"), F.col("b")).alias(c) for x, c in ((F.least, "ha"), (F.greatest, "hb"))))
     width = 64 // BLOCKS
     blocks = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("sim", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for i in range(BLOCKS)))
     blocks = lines.select("h1", F.explode(blocks).alias("block")).select("h1", "block.*")
-    alike = blocks.groupBy("i", "bits").agg(F.min("h1").alias("h1"), F.max("h1").alias("end")).select("h1", "end")
-    star = shown.select("h1", F.explode(F.array("lo", "hi")).alias("end")).union(alike).where("h1 <> end")
-    star = star.select(F.least("h1", "end").alias("ha"), F.greatest("h1", "end").alias("hb")).union(direct).distinct()
+    alike = blocks.groupBy("i", "bits").agg(F.min("h1").alias("h1"), F.max("h1").alias("end")).where("h1 <> end")
+    alike = alike.select(F.least("h1", "end").alias("ha"), F.greatest("h1", "end").alias("hb"))
     side = lambda x: lines.select(F.col("h1").alias(f"h{x}"), F.col("id").alias(x), F.col("words").alias(f"n{x}"), *(F.col(o).alias(f"{o}{x}") for o in ODD))
     apart = " + ".join(f"bit_count({o}a ^ {o}b)" for o in ODD)
     bound = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and 100 * ({apart} + abs(na - nb)) <= {2 * (100 - PERCENT)} * greatest(na, nb)")
-    bounded = lambda pairs: pairs.join(side("a"), "ha").join(side("b"), "hb").where(bound).select("a", "b")
+    bounded = direct.union(alike).distinct().join(side("a"), "ha").join(side("b"), "hb").where(bound).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = staged(lines.join(ids, "id", "left_semi").select("id", "doc_id", "th", "line"))
+        wanted = staged(lines.join(ids, "id", "left_semi").select("id", "doc_id", "th", "at", "bytes"))
         texts = staged(_texts(wanted, docs, copied, id_col, text_col))
         out = staged(_verified(pairs, texts))
         release(wanted, texts)
         return out
-    pairs = staged(bounded(star))
+    sizes = staged(shown.groupBy("key").count())
+    meeting = staged(_meeting(shown, sizes, lines, None))
+    pairs = staged(bounded.union(meeting.where("key is null").select("a", "b")).distinct())
     links = verified(pairs)
     found = components(links)
-    # lines of one frequent key that are not yet in one group
-    shown = staged(shown.select("key", "h1").join(lines.select("id", "h1"), "h1").drop("h1"))
-    release(met, links)
-    open_ = staged(_open(shown, found, lines))
-    release(shown)
-    near = _sides(open_)
-    hubs = near[1].groupBy("key", "scale").agg(F.max_by(F.struct("b", "cb", "nb", *(f"{o}b" for o in ODD)), F.struct("shows", "b")).alias("hub"))
-    hubs = hubs.select("key", F.explode(F.array(*(F.col("scale") + i for i in (-1, 0, 1)))).alias("scale"), "hub.*")
-    tried = near[0].join(hubs, ["key", "scale"]).where(F.expr("ca <> cb") & bound).select(*_ordered("a", "b")).distinct()
-    ordered = pairs.select(*_ordered("a", "b"))
-    tried = staged(tried.join(ordered, ["a", "b"], "left_anti"))
-    links = verified(tried)
-    before, found = found, _joined(found, links)
-    release(before, links)
-    rest = staged(_open(open_.select("id", F.explode("keys").alias("key")), found, open_))
-    release(open_)
-    sides = _sides(rest)
-    once = F.expr("coalesce(array_min(array_intersect(leasta, leastb)), code) >= code")
-    longer = sides[1].drop("code").withColumn("scale", F.explode(F.array(F.col("scale"), F.col("scale") - 1)))
-    left = sides[0].join(longer, ["key", "scale"]).where(F.expr("(na < nb or na = nb and a < b) and ca <> cb") & bound & once)
-    left = staged(left.select(*_ordered("a", "b")).distinct().join(ordered.union(tried), ["a", "b"], "left_anti"))
-    release(pairs, tried, rest)
-    links = verified(left)
-    out = _joined(found, links)
-    release(found, left, links)
-    return out.select(F.col("node").alias("id"), "component")
-
-
-def _ordered(a: str, b: str) -> tuple:
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-
-
-def _open(shown: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of ``key, id``: ``id, words, component, keys`` and ODD of lines with keys whose lines aren't all in one group yet;
-    ``keys`` are those keys."""
-    label = found.select(F.col("node").alias("id"), "component")
-    labelled = shown.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    still = labelled.join(mixed, "key").groupBy("id").agg(F.collect_set("key").alias("keys"), F.first("component").alias("component"))
-    return still.join(lines.select("id", "words", *ODD), "id")
-
-
-def _sides(open_: DataFrame) -> list[DataFrame]:
-    """Both sides of a join by key of the lines in ``open_``: the line, its component, length and parities; its step on a
-    scale on which similar lines are a step apart at most, how many keys it has, the codes of the least of them, and that
-    of the key."""
-    codes = F.sort_array(F.transform("keys", lambda k: F.hash(k)))
-    scale = F.floor(F.log2("words") * ((1 - 1e-9) / np.log2(100 / PERCENT))).cast("int").alias("scale")  # rounding adds no step
-    rows = open_.select("*", F.size("keys").alias("shows"), F.slice(codes, 1, LEAST_CODES).alias("least"), scale).select("*", F.explode("keys").alias("key"))
-    own = lambda x: [F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("words").alias(f"n{x}"), *(F.col(o).alias(f"{o}{x}") for o in ODD)]
-    return [rows.select("key", *own(x), F.col("least").alias(f"least{x}"), "shows", "scale", F.hash("key").alias("code")) for x in "ab"]
+    dense = meeting.where("key is not null").select("key").distinct()
+    if dense.take(1):  # lines of these keys that are still in different groups
+        dense = staged(shown.join(staged(dense), "key", "left_semi"))
+        known = few(dense.select("h1"))
+        left = staged(_meeting(dense, sizes, lines if known is None else lines.join(known, "h1", "left_semi"), found).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+        more = verified(left)
+        before, found = found, _joined(found, more)
+        release(before, dense, left, more)
+    release(met, sizes, meeting, pairs, links)
+    return found.select(F.col("node").alias("id"), "component")
+
+
+def _meeting(shown: DataFrame, sizes: DataFrame, lines: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Pairs ``a, b`` of ids of the lines of a key in ``shown`` (``key, h1``) that the bound allows to be similar. Without
+    ``found`` each line meets MOST_FIRST shorter or equal ones of a key at most, and ``key`` alone names keys that have more; with
+    ``found`` every two of different groups meet. ``sizes``: how many rows a key has. Lines of a key of more than
+    MOST_CELL are dealt into parts, any two of which meet apart."""
+    own = lines.select("id", "h1", "words", *ODD)
+    if found is not None:
+        own = own.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    total, most = sizes.agg(F.sum("count"), F.max("count")).first()
+    buckets = max(8, -(-(total or 0) // MOST_DEALT))
+    place = [F.lit(0).alias(c) for c in "ijp"]
+    if (most or 0) > MOST_CELL:
+        parts = F.broadcast(sizes.where(F.col("count") > MOST_CELL).select("key", F.ceil(F.col("count") / (MOST_CELL // 2)).cast("int").alias("parts")))
+        rows = shown.join(parts, "key", "left").withColumn("p", F.pmod(F.xxhash64("h1"), F.coalesce("parts", F.lit(1))).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        rows = rows.select("key", "h1", "p", other.alias("o")).select("key", "h1", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p")
+    else:
+        rows = shown.select("key", "h1", *place)
+    rows = rows.join(own, "h1").drop("h1").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)))
+    limit = MOST_FIRST if found is None else None
+    return rows.groupBy("bucket").applyInArrow(lambda x: _met_lines(x, limit), "a long, b long, key long")
+
+
+def _met_lines(rows: pa.Table, limit: int | None) -> pa.Table:
+    """What ``_meeting`` finds in a bucket."""
+    read = lambda c: rows.column(c).to_numpy()
+    ids, n = read("id"), read("words").astype(np.int64)
+    cell = read("key").view(np.uint64) ^ mix((read("i").astype(np.uint64) << np.uint64(32)) | read("j").astype(np.uint64))
+    by = np.lexsort((ids, n, cell))
+    once = np.ones(len(by), bool)
+    once[1:] = (cell[by[1:]] != cell[by[:-1]]) | (ids[by[1:]] != ids[by[:-1]])
+    by = by[once]
+    ids, n, cell = ids[by], n[by], cell[by]
+    key, part, across = read("key")[by], read("p")[by], (read("i") != read("j"))[by]
+    odd = [read(o)[by].view(np.uint64) for o in ODD]
+    group = read("component")[by] if "component" in rows.column_names else ids
+    most = 2 * (100 - PERCENT) * n // 100
+    pairs, dense = [], []
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    for start, end in zip(first.tolist(), [*first[1:].tolist(), len(cell)], strict=True):
+        if (group[start:end] == group[start]).all():
+            continue
+        shortest = start + np.searchsorted(n[start:end], -(-PERCENT * n[start:end:AT_LENGTH] // 100))
+        for a, lo in zip(range(start, end, AT_LENGTH), shortest.tolist(), strict=True):
+            b = min(a + AT_LENGTH, end)
+            apart = np.bitwise_count(odd[0][a:b, None] ^ odd[0][lo:b])
+            apart += np.bitwise_count(odd[1][a:b, None] ^ odd[1][lo:b])
+            y, x = np.nonzero(apart <= ((most - n)[a:b, None] + n[lo:b]))
+            x, y = x + lo, y + a
+            some = (x < y) & (100 * n[x] >= PERCENT * n[y])
+            x, y = x[some], y[some]
+            some = (group[x] != group[y]) & (~across[x] | (part[x] != part[y]))
+            some &= sum(np.bitwise_count(o[x] ^ o[y]).astype(np.int64) for o in odd) + n[y] - n[x] <= most[y]
+            x, y = x[some], y[some]
+            if limit is not None and len(y):
+                new = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+                stays = np.arange(len(y)) - np.repeat(new, np.diff(np.append(new, len(y)))) < limit
+                if not stays.all():
+                    dense.append(key[start])
+                x, y = x[stays], y[stays]
+            if len(x):
+                pairs.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1))
+    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+    dense = np.unique(np.array(dense, np.int64))
+    column = lambda x, more, front: pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(more, pa.int64())][:: 1 if front else -1])
+    return pa.table([*(column(np.ascontiguousarray(pairs[:, i]), len(dense), True) for i in range(2)), column(dense, len(pairs), False)], names=["a", "b", "key"])
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -597,14 +632,15 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
 def _texts(wanted: DataFrame, docs: DataFrame, copied: bool, id_col: str, text_col: str) -> DataFrame:
     """``id, words``: the lines as they stand. ``copied``: whether rows share id and text."""
     key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.col("th")]
-    per_doc = wanted.groupBy(*key).agg(F.collect_list(F.struct("line", "id")).alias("which"))
+    per_doc = wanted.groupBy(*key).agg(F.collect_list(F.struct("at", "bytes", "id")).alias("which"))
     rows = _keyed(docs, id_col, text_col)
     known = few(wanted.select("th"))
     if known is not None:  # only their texts need to be dealt
         rows = rows.join(known, "th", "left_semi")
     rows = rows.join(per_doc.hint("shuffle_hash"), ["k", "none", "th"])
-    rows = rows.select(F.split("text", "\n").alias("lines"), F.explode("which").alias("x")).select("x.id", F.get("lines", F.col("x.line").cast("int")).alias("t"))
-    return (rows.dropDuplicates(["id"]) if copied else rows).select("id", F.col("t").alias("words"))
+    cut = lambda b: F.transform("which", lambda x: F.struct(x["id"].alias("id"), F.substring(b, x["at"] + 1, x["bytes"]).alias("words")))
+    rows = rows.select(F.explode(let(F.col("text").cast("binary"), cut)).alias("x")).select("x.id", F.col("x.words").cast("string").alias("words"))
+    return rows.dropDuplicates(["id"]) if copied else rows
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -614,7 +650,7 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.col("th")]
     rows = _keyed(docs, id_col, text_col, row_of(docs).alias("kept"))
     copies = staged(every.where("lead").groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").drop("c"))
-    one = [F.first(c).alias(c) for c in ("doc_id", "th", "line", "sim", *ODD)]  # of one occurrence
+    one = [F.first(c).alias(c) for c in ("doc_id", "th", "at", "bytes", "sim", *ODD)]  # of one occurrence
     lines = every.groupBy("h1", "h2").agg(F.count("*").alias("of"), F.first("n").alias("words"), *one)
     lines = staged(lines.select(F.monotonically_increasing_id().alias("id"), "*"))
     long = lines.where(F.col("words") >= LEAST_FUZZY).drop("h2", "of")
@@ -631,7 +667,8 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     drops = staged(gone.join(worded, ["k", "none", "th"], "full"))
     release(occurring, repeated, again, copies)
     lines_of = F.split("text", "\n")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of)).cast("long").alias("n_lines")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long").alias("n_lines")
     known = few(drops.select("th"))
     touched, untouched = rows, None
     if known is not None:  # only texts that lose lines need to be dealt

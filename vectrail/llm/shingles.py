@@ -17,9 +17,6 @@ SEGMENT = 1 << 18
 #: Texts that are handled at once, in bytes.
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += 32
-_LOWER += 1
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, *range(9, 14)]] = True
 
@@ -51,12 +48,16 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             end = end + int(more[0]) + 1 if len(more) else min(end + SEGMENT, len(data))
         part = data[at:end]
         up, down = _POWERS if len(part) <= len(_POWERS[0]) else (_powers(len(part), BASE), _powers(len(part), pow(BASE, -1, 1 << 64)))
-        blank = _BLANK[part]
+        blank = (part == 32) | (part - np.uint8(9) < 5)
         edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
         if not blank[0]:
             edge = np.concatenate([[0], edge])
         first, last = edge[::2], edge[1::2]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[part] * up[: len(part)], dtype=np.uint64)])
+        lower = np.frombuffer(part.tobytes().lower(), np.uint8).astype(np.uint64)
+        lower += np.uint64(1)
+        lower *= up[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(lower, out=sums[1:])
         hashes.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
         starts.append(first + at)
         at = end
