@@ -112,6 +112,23 @@ def test_probes_are_chosen_in_little_driver_memory(spark, monkeypatch):
     assert (ann._nearest_cells(x, means)[:, 0] == ((x[:, None, :] - means[None]) ** 2).sum(2).argmin(1)).all()
 
 
+def test_trees_take_little_driver_memory(spark):
+    points = np.random.default_rng(5).normal(size=(4096, 4))
+    rows = spark.createDataFrame([(v,) for v in points.tolist()], "embedding array<double>")
+    tracemalloc.start()
+    grown = ann.forest(rows, 24, leaf=1)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 10e6
+    axis, at, right = grown[0]
+    def walk(x) -> int:
+        node = 0
+        while axis[node] >= 0:
+            node = node + 1 if x[axis[node]] < at[node] else right[node]
+        return node
+    assert ann.leaves_of(grown[:1], points)[0].tolist() == [walk(x) for x in points]
+
+
 def test_repeated_ids_in_a_batch(spark):
     rows = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, s string, n int")
     new = spark.createDataFrame([(2, "x", 5), (2, "y", 6), (3, "p", 7), (3, "q", 8)], "id int, s string, n int").coalesce(1)
