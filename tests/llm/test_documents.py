@@ -519,6 +519,16 @@ def test_lines_of_frequent_keys_meet_in_arrays(spark, monkeypatch):
         monkeypatch.setattr(lines, "MOST_FIRST", 16)
 
 
+def test_staged_frames_send_few_rows_to_python_at_once(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = [r.n for r in lines.staged(spark.range(0, 9000, 1, 1).mapInArrow(run, "n long")).collect()]
+    assert sum(sizes) == 9000 and max(sizes) <= 2048
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_lines_edits_at_most():
     """The quick bound is never below the distance, and tells a line with one word dropped or some replaced."""
     rng = random.Random(9)

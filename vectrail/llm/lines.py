@@ -48,7 +48,7 @@ ODD = [f"odd{i}" for i in range(CELLS // 64)]
 #: Blocks of the SimHash.
 BLOCKS = 2
 #: Entries of a bucket, entries that a task holds before it sends them, lines of a key that meet each other there and then.
-BUCKET_ENTRIES, MOST_HELD, FEW = 1 << 18, 1 << 20, 64
+BUCKET_ENTRIES, MOST_HELD, FEW = 1 << 18, 1 << 18, 64
 #: Bits of the codes of a length and of a position in a key; codes of a position that says nothing and of a key that is sent
 #: in part; steps of the length's scale.
 CODE_BITS, ANYWHERE, FREQUENT, SCALE = 8, 255, 255, 24
