@@ -529,6 +529,34 @@ def test_staged_frames_send_few_rows_to_python_at_once(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_lines_of_dense_keys_meet_without_their_entries(spark, monkeypatch):
+    """What is left of a key after each line met a few others comes up from the packed lines, as it does by the entries."""
+    rng = np.random.default_rng(6)
+    texts = [[f"w{x}" for x in rng.integers(0, 4000, int(rng.integers(8, 40)))] for _ in range(8)]
+    texts = [" ".join(t[:i] + ["new"] + t[i + 1 :]) for t in texts for i in (0, 1, 2, 3, 5, 7)]
+    made = lines.occurrences(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).where("words is null")
+    made = lines.staged(made.select(F.col("doc_id").alias("id"), "h1", F.col("n").alias("words"), *lines.ODD))
+    shown = lines.staged(made.select((F.col("id") % 2).alias("key"), "h1"))
+    sizes = shown.groupBy("key").count()
+    own = spark.createDataFrame([(i, i - i % 3) for i in range(0, len(texts), 2)], "node long, component long")
+    monkeypatch.setattr(lines, "MOST_FIRST", 1)
+    for cell in (1 << 13, 8):
+        monkeypatch.setattr(lines, "MOST_CELL", cell)
+        first = lines.staged(lines._meeting(shown, sizes, made, None))
+        dense = first.where("key is not null")
+        some = {(r.a, r.b) for r in first.where("key is null").collect()}
+        want = {(r.a, r.b) for r in lines._meeting(shown, sizes, made, own).collect()}
+        found = {(r.a, r.b) for r in lines._apart(dense.select("cell"), own).collect()}
+        assert found <= want <= found | some and (found - some or cell == 8)
+
+
+def test_lines_removed_by_bytes(spark):
+    texts = ["ä b c d e\n\nx ü z v w\n", "x ü z v w\n", "\n ä b c d e\nnur hier, ganz allein jetzt", "x ü z v w", "x ü z v w\n\n", "ä b c d e\nund hier noch eine davon\nä b c d e", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.deduplicated(docs).select("kept.doc_id", "text", "n_lines", "n_removed").collect()}
+    assert found == {0: (texts[0], 4, 0), 1: ("", 2, 1), 2: ("\nnur hier, ganz allein jetzt", 3, 1), 3: ("", 1, 1), 4: ("\n", 3, 1), 5: ("und hier noch eine davon", 3, 2), 6: (None, 0, 0)}
+
+
 def test_lines_edits_at_most():
     """The quick bound is never below the distance, and tells a line with one word dropped or some replaced."""
     rng = random.Random(9)

@@ -26,6 +26,7 @@ lose all that could be removed; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, few, let, quoted, release, row_of, staged, table
+from .common import MOST_BROADCAST, WORD, few, let, quoted, release, row_of, staged, table
 from .components import components
 from .shingles import BASE, chunks, mix, words_of
 
@@ -515,10 +516,9 @@ def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, copied: bool,
     direct = met.where(F.col("key").isNull()).select("at", "pairs").groupBy("at").applyInArrow(_twice, "a long, b long")
     direct = direct.select(*(x(F.col("a"), F.col("b")).alias(c) for x, c in ((F.least, "ha"), (F.greatest, "hb"))))
     width = 64 // BLOCKS
-    blocks = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("sim", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for i in range(BLOCKS)))
-    blocks = lines.select("h1", F.explode(blocks).alias("block")).select("h1", "block.*")
-    alike = blocks.groupBy("i", "bits").agg(F.min("h1").alias("h1"), F.max("h1").alias("end")).where("h1 <> end")
-    alike = alike.select(F.least("h1", "end").alias("ha"), F.greatest("h1", "end").alias("hb"))
+    block = lambda i: lines.select("h1", F.shiftrightunsigned("sim", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits"))
+    alike = [block(i).groupBy("bits").agg(F.min("h1").alias("h1"), F.max("h1").alias("end")).where("h1 <> end") for i in range(BLOCKS)]
+    alike = functools.reduce(DataFrame.union, alike).select(F.least("h1", "end").alias("ha"), F.greatest("h1", "end").alias("hb"))
     side = lambda x: lines.select(F.col("h1").alias(f"h{x}"), F.col("id").alias(x), F.col("words").alias(f"n{x}"), *(F.col(o).alias(f"{o}{x}") for o in ODD))
     apart = " + ".join(f"bit_count({o}a ^ {o}b)" for o in ODD)
     bound = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and 100 * ({apart} + abs(na - nb)) <= {2 * (100 - PERCENT)} * greatest(na, nb)")
@@ -535,22 +535,27 @@ def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, copied: bool,
     pairs = staged(bounded.union(meeting.where("key is null").select("a", "b")).distinct())
     links = verified(pairs)
     found = components(links)
-    dense = meeting.where("key is not null").select("key").distinct()
+    dense = meeting.where("key is not null")
     if dense.take(1):  # lines of these keys that are still in different groups
-        dense = staged(shown.join(staged(dense), "key", "left_semi"))
-        known = few(dense.select("h1"))
-        left = staged(_meeting(dense, sizes, lines if known is None else lines.join(known, "h1", "left_semi"), found).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+        if found.count() <= MOST_BROADCAST:
+            known, apart = [], _apart(dense.select("cell"), found)
+        else:
+            known = [staged(dense.select("key").distinct())]
+            known.append(staged(shown.join(known[0], "key", "left_semi")))
+            own = few(known[1].select("h1"))
+            apart = _meeting(known[1], sizes, lines if own is None else lines.join(own, "h1", "left_semi"), found).select("a", "b")
+        left = staged(apart.distinct().join(pairs, ["a", "b"], "left_anti"))
         more = verified(left)
         before, found = found, _joined(found, more)
-        release(before, dense, left, more)
+        release(before, *known, left, more)
     release(met, sizes, meeting, pairs, links)
     return found.select(F.col("node").alias("id"), "component")
 
 
 def _meeting(shown: DataFrame, sizes: DataFrame, lines: DataFrame, found: DataFrame | None) -> DataFrame:
     """Pairs ``a, b`` of ids of the lines of a key in ``shown`` (``key, h1``) that the bound allows to be similar. Without
-    ``found`` each line meets MOST_FIRST shorter or equal ones of a key at most, and ``key`` alone names keys that have more; with
-    ``found`` every two of different groups meet. ``sizes``: how many rows a key has. Lines of a key of more than
+    ``found`` each line meets MOST_FIRST shorter or equal ones of a key at most, and rows without a pair name the ``key`` where
+    there are more, with its lines packed in ``cell``; with ``found`` every two of different groups meet. ``sizes``: how many rows a key has. Lines of a key of more than
     MOST_CELL are dealt into parts, any two of which meet apart."""
     own = lines.select("id", "h1", "words", *ODD)
     if found is not None:
@@ -567,7 +572,66 @@ def _meeting(shown: DataFrame, sizes: DataFrame, lines: DataFrame, found: DataFr
         rows = shown.select("key", "h1", *place)
     rows = rows.join(own, "h1").drop("h1").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)))
     limit = MOST_FIRST if found is None else None
-    return rows.groupBy("bucket").applyInArrow(lambda x: _met_lines(x, limit), "a long, b long, key long")
+    return rows.groupBy("bucket").applyInArrow(lambda x: _met_lines(x, limit), "a long, b long, key long, cell binary")
+
+
+def _apart(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """``_meeting`` with ``found``, of at most MOST_BROADCAST nodes, for the packed lines that ``_meeting`` left without it."""
+    groups = found.select("node", "component").toArrow()
+    node, component = (groups.column(c).to_numpy() for c in ("node", "component"))
+    by = np.argsort(node)
+    node, component = node[by], component[by]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for cell in batch.column("cell"):
+                ids, n, part, *odd = np.frombuffer(cell.as_buffer(), np.int64).reshape(3 + len(ODD), -1)
+                at = np.minimum(np.searchsorted(node, ids), max(len(node) - 1, 0))
+                group = np.where(node[at] == ids, component[at], ids) if len(node) else ids
+                new, _ = _cell_pairs(ids, n, [o.view(np.uint64) for o in odd], group, part, None)
+                held += new
+                size += sum(map(len, new))
+                if size > 2 * MOST_HELD:  # a pair may have many keys
+                    held = [np.unique(np.concatenate(held), axis=0)]
+                    size = len(held[0])
+                    if size > MOST_HELD:
+                        yield two(held[0])
+                        held, size = [], 0
+        if size:
+            yield two(np.unique(np.concatenate(held), axis=0))
+    def two(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(2)], names=["a", "b"])
+    lines = cells.agg(F.sum(F.octet_length("cell"))).first()[0] // (8 * (3 + len(ODD)))
+    return cells.repartition(max(8, -(-lines // MOST_DEALT))).mapInArrow(run, "a long, b long")
+
+
+def _cell_pairs(ids, n, odd, group, part, limit: int | None) -> tuple[list[np.ndarray], bool]:
+    """Pairs of the lines of a cell, sorted by length, that are of different groups and that the bound allows, of different
+    parts if ``part`` isn't negative; and whether ``limit`` left some out."""
+    pairs, dense = [], False
+    if (group == group[0]).all():
+        return pairs, dense
+    most = 2 * (100 - PERCENT) * n // 100
+    shortest = np.searchsorted(n, -(-PERCENT * n[::AT_LENGTH] // 100))
+    for a, lo in zip(range(0, len(ids), AT_LENGTH), shortest.tolist(), strict=True):
+        b = min(a + AT_LENGTH, len(ids))
+        apart = np.bitwise_count(odd[0][a:b, None] ^ odd[0][lo:b])
+        apart += np.bitwise_count(odd[1][a:b, None] ^ odd[1][lo:b])
+        y, x = np.nonzero(apart <= ((most - n)[a:b, None] + n[lo:b]))
+        x, y = x + lo, y + a
+        some = (x < y) & (100 * n[x] >= PERCENT * n[y])
+        x, y = x[some], y[some]
+        some = (group[x] != group[y]) & ((part[x] < 0) | (part[x] != part[y]))
+        some &= sum(np.bitwise_count(o[x] ^ o[y]).astype(np.int64) for o in odd) + n[y] - n[x] <= most[y]
+        x, y = x[some], y[some]
+        if limit is not None and len(y):
+            new = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+            stays = np.arange(len(y)) - np.repeat(new, np.diff(np.append(new, len(y)))) < limit
+            dense |= not stays.all()
+            x, y = x[stays], y[stays]
+        if len(x):
+            pairs.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1))
+    return pairs, dense
 
 
 def _met_lines(rows: pa.Table, limit: int | None) -> pa.Table:
@@ -580,39 +644,22 @@ def _met_lines(rows: pa.Table, limit: int | None) -> pa.Table:
     once[1:] = (cell[by[1:]] != cell[by[:-1]]) | (ids[by[1:]] != ids[by[:-1]])
     by = by[once]
     ids, n, cell = ids[by], n[by], cell[by]
-    key, part, across = read("key")[by], read("p")[by], (read("i") != read("j"))[by]
+    key, part = read("key")[by], np.where(read("i") != read("j"), read("p"), -1)[by].astype(np.int64)
     odd = [read(o)[by].view(np.uint64) for o in ODD]
     group = read("component")[by] if "component" in rows.column_names else ids
-    most = 2 * (100 - PERCENT) * n // 100
-    pairs, dense = [], []
+    pairs, dense, cells = [], [], []
     first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     for start, end in zip(first.tolist(), [*first[1:].tolist(), len(cell)], strict=True):
-        if (group[start:end] == group[start]).all():
-            continue
-        shortest = start + np.searchsorted(n[start:end], -(-PERCENT * n[start:end:AT_LENGTH] // 100))
-        for a, lo in zip(range(start, end, AT_LENGTH), shortest.tolist(), strict=True):
-            b = min(a + AT_LENGTH, end)
-            apart = np.bitwise_count(odd[0][a:b, None] ^ odd[0][lo:b])
-            apart += np.bitwise_count(odd[1][a:b, None] ^ odd[1][lo:b])
-            y, x = np.nonzero(apart <= ((most - n)[a:b, None] + n[lo:b]))
-            x, y = x + lo, y + a
-            some = (x < y) & (100 * n[x] >= PERCENT * n[y])
-            x, y = x[some], y[some]
-            some = (group[x] != group[y]) & (~across[x] | (part[x] != part[y]))
-            some &= sum(np.bitwise_count(o[x] ^ o[y]).astype(np.int64) for o in odd) + n[y] - n[x] <= most[y]
-            x, y = x[some], y[some]
-            if limit is not None and len(y):
-                new = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
-                stays = np.arange(len(y)) - np.repeat(new, np.diff(np.append(new, len(y)))) < limit
-                if not stays.all():
-                    dense.append(key[start])
-                x, y = x[stays], y[stays]
-            if len(x):
-                pairs.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1))
+        own = slice(start, end)
+        new, more = _cell_pairs(ids[own], n[own], [o[own] for o in odd], group[own], part[own], limit)
+        pairs += new
+        if more:
+            dense.append(key[start])
+            cells.append(np.concatenate([x[own].view(np.int64) for x in (ids, n, part, *odd)]).tobytes())
     pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    dense = np.unique(np.array(dense, np.int64))
-    column = lambda x, more, front: pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(more, pa.int64())][:: 1 if front else -1])
-    return pa.table([*(column(np.ascontiguousarray(pairs[:, i]), len(dense), True) for i in range(2)), column(dense, len(pairs), False)], names=["a", "b", "key"])
+    column = lambda x, more, front: pa.concat_arrays([x, pa.nulls(more, x.type)][:: 1 if front else -1])
+    columns = [column(pa.array(np.ascontiguousarray(pairs[:, i])), len(dense), True) for i in range(2)]
+    return pa.table([*columns, column(pa.array(dense, pa.int64()), len(pairs), False), column(pa.array(cells, pa.binary()), len(pairs), False)], names=["a", "b", "key", "cell"])
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -659,14 +706,14 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     grouped = lines.select("id", "h1", "h2", "of").join(groups, "id", "left").where("component is not null or of > 1").withColumn("component", F.coalesce("component", "id"))
     repeated = staged(grouped.select("h1", "h2", "component"))
     release(lines)
-    again = staged(every.join(repeated, ["h1", "h2"]).select("component", "doc_id", "th", "line"))
+    again = staged(every.join(repeated, ["h1", "h2"]).select("component", "doc_id", "th", "line", "at", "bytes"))
     first = again.groupBy("component").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"))
     gone = again.join(first, "component").where("not (struct(doc_id, th, line) <=> first)")
-    gone = gone.groupBy(*key).agg(F.collect_set("line").alias("gone"))
-    worded = every.select(*key, "line").join(copies, ["k", "none", "th"], "left_semi").groupBy("k", "none", "th").agg(F.collect_set("line").alias("all"))
+    place = F.collect_set(F.struct("at", "bytes"))
+    gone = gone.groupBy(*key).agg(place.alias("gone"))
+    worded = every.select(*key, "at", "bytes").join(copies, ["k", "none", "th"], "left_semi").groupBy("k", "none", "th").agg(place.alias("all"))
     drops = staged(gone.join(worded, ["k", "none", "th"], "full"))
     release(occurring, repeated, again, copies)
-    lines_of = F.split("text", "\n")
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long").alias("n_lines")
     known = few(drops.select("th"))
@@ -676,10 +723,13 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
         untouched = rows.join(known, "th", "left_anti").select("kept", "text", n_lines, F.lit(0).cast("long").alias("n_removed"))
     copy = F.row_number().over(Window.partitionBy("k", "none", "th").orderBy(F.lit(0))) if copied else F.lit(1)
     touched = touched.join(drops.hint("shuffle_hash"), ["k", "none", "th"], "left").withColumn("i", copy)
-    drop = F.coalesce(F.when(F.col("i") > 1, F.col("all")).otherwise(F.col("gone")), F.array().cast("array<bigint>"))
-    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("lines") - F.lit(1).cast("long")), F.col("drop"))
-    stay = F.array_join(F.transform(left, lambda i: F.get("lines", i.cast("int"))), "\n")
-    touched = touched.withColumn("drop", drop).withColumn("lines", lines_of)
+    drop = F.coalesce(F.when(F.col("i") > 1, F.col("all")).otherwise(F.col("gone")), F.array().cast("array<struct<at:int,bytes:int>>"))
+    touched = touched.withColumn("drop", F.array_sort(drop))
+    begin = F.concat(F.array(F.lit(0)), F.transform("drop", lambda x: x["at"] + x["bytes"] + 1))
+    end = F.concat(F.transform("drop", lambda x: x["at"]), F.array(F.octet_length("text") + 1))
+    cut = lambda b: F.array_join(F.zip_with(begin, end, lambda x, y: F.substring(b, x + 1, y - x).cast("string")), "")
+    ended = let(F.concat(F.col("text").cast("binary"), F.lit(b"\n")), cut).cast("binary")  # each line that stays with its line feed
+    stay = let(ended, lambda b: F.substring(b, F.lit(1), F.octet_length(b) - 1)).cast("string")
     touched = touched.select("kept", F.when(F.size("drop") > 0, stay).otherwise(F.col("text")).alias("text"), n_lines, F.size("drop").cast("long").alias("n_removed"))
     return touched if untouched is None else touched.unionByName(untouched)
 
