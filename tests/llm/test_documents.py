@@ -550,6 +550,36 @@ def test_lines_of_dense_keys_meet_without_their_entries(spark, monkeypatch):
         assert found <= want <= found | some and (found - some or cell == 8)
 
 
+def test_lines_of_dense_keys_leave_links_instead_of_pairs(spark, monkeypatch):
+    """Each two of 60 lines are within the bound and unlinked but for few, and share three keys: what leaves a task are links, not pairs."""
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in range(30)]
+    texts = [" ".join(np.array(base)[rng.permutation(30)]) for _ in range(45)]  # equal words, far apart
+    texts += [" ".join([f"v{i}", *t.split(" ")[1:]]) for i, t in enumerate(texts[:15])]
+    texts += [f"u{i} " + " ".join(f"z{j}" for j in range(520)) for i in range(3)]  # long ones
+    made = lines.occurrences(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).where("words is null")
+    made = lines.staged(made.select(F.col("doc_id").alias("id"), "h1", F.col("n").alias("words"), *lines.ODD))
+    shown = lines.staged(made.select(F.explode(F.expr("array(1L, 2L, 3L)")).alias("key"), "h1"))
+    sizes = shown.groupBy("key").count()
+    words = spark.createDataFrame(list(enumerate(texts)), "id long, words string")
+    found = spark.createDataFrame([(0, 0), (45, 0)], "node long, component long")
+    monkeypatch.setattr(lines, "MOST_FIRST", 1)
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if lines.similar(texts[a].split(), texts[b].split())}
+    assert len(want) > 15
+    for cell, room in ((1 << 13, 1 << 18), (8, 40)):
+        monkeypatch.setattr(lines, "MOST_CELL", cell)
+        monkeypatch.setattr(lines, "ROOM_LINES", room)
+        dense = lines.staged(lines._meeting(shown, sizes, made, None)).where("key is not null")
+        assert len({(r.a, r.b) for r in lines._meeting(shown, sizes, made, found).collect()}) > 900
+        for rooms in (lines._apart(dense.select("cell"), found, True), lines._meeting(shown, sizes, made, found, True)):
+            rooms = lines.staged(rooms)
+            links = [(r.a, r.b) for r in lines._linked(rooms, words).collect()]
+            assert len(links) < len(texts) * rooms.count() and set(links) <= want
+            if cell > len(texts):
+                one, other = (groups(len(texts), [*x, (0, 45)]) for x in (links, want))
+                assert len({*zip(one, other, strict=True)}) == len({*one}) == len({*other})
+
+
 def test_lines_removed_by_bytes(spark):
     texts = ["ä b c d e\n\nx ü z v w\n", "x ü z v w\n", "\n ä b c d e\nnur hier, ganz allein jetzt", "x ü z v w", "x ü z v w\n\n", "ä b c d e\nund hier noch eine davon\nä b c d e", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

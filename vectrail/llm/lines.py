@@ -14,7 +14,8 @@ many copies early. SimHash alone can't propose all: at a similarity of 0.8 it di
 blocks that tell lines apart allow.
 
 Only groups are wanted, so of the lines of a key of many lines each meets a few others that the bounds below allow to be
-similar; where there are more, those that are then still in different groups meet all. Only
+similar; where there are more, those that are then still in different groups meet all, and leave one link for each two
+groups that they join: pairs never leave the task that verifies them. Only
 pairs are verified that exact bounds allow to be similar: the lengths, and the cells of a fixed number that hold an odd
 number of words of just one line. A replaced word changes two of them at most, an added or a dropped one a single cell, so
 these cells and the difference of the lengths come to no more than twice the edits. No bucket is capped.
@@ -27,6 +28,7 @@ lose all that could be removed; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,13 +58,18 @@ CODE_BITS, ANYWHERE, FREQUENT, SCALE = 8, 255, 255, 24
 #: Words that a count of one byte holds; words of the lines whose edits are counted by arrays, pairs at once, and cells for
 #: the words that two of them share.
 MOST_COUNTED, MOST_WORDS, AT_ONCE, COMMON_CELLS = 255, 512, 1 << 12, 1 << 8
+#: Of longer lines, pairs at once and cells for the words that two of them share.
+LONG_AT_ONCE, LONG_CELLS = 1 << 8, 1 << 12
 #: Bytes of texts whose words are held at once.
-MOST_BYTES = 1 << 22
+MOST_BYTES = 1 << 23
 #: Line hashes that a task remembers, so that copies aren't sent again.
 MOST_MET = 1 << 20
 #: Entries of frequent keys that a task compares at least; lines of a key that are compared in one piece; lines that meet all
 #: others of a key at once; others of a key that a line meets before groups are known.
 MOST_DEALT, MOST_CELL, AT_LENGTH, MOST_FIRST = 1 << 17, 1 << 13, 64, 16
+#: Words of the lines of a room, lines of its cells, and pairs without a link that it remembers, so that other cells don't
+#: verify them again.
+ROOM_WORDS, ROOM_LINES, MOST_TESTED = 1 << 20, 1 << 18, 1 << 20
 
 
 def simhash(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -438,56 +445,86 @@ def distances(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
     return out
 
 
-def in_common(words: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def in_common(words: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray, cells: int | None = None) -> np.ndarray:
     """At most how many words the texts ``x`` and ``y`` (numbers, pair by pair) share: the sum of the smaller counts in
-    each of COMMON_CELLS cells. ``words`` holds the texts' codes one after the other from ``begin``."""
+    each of ``cells`` cells (COMMON_CELLS). ``words`` holds the texts' codes one after the other from ``begin``."""
+    cells = cells or COMMON_CELLS
     some, where = np.unique(np.concatenate([x, y]), return_inverse=True)
     size = np.diff(begin)[some]
     at = np.arange(size.sum()) + np.repeat(begin[some] - (np.cumsum(size) - size), size)
-    cell = np.repeat(np.arange(len(some)), size) * COMMON_CELLS + words[at] % COMMON_CELLS
-    counts = np.bincount(cell, minlength=len(some) * COMMON_CELLS).astype(np.uint16).reshape(-1, COMMON_CELLS)
+    cell = np.repeat(np.arange(len(some)), size) * cells + words[at] % cells
+    counts = np.bincount(cell, minlength=len(some) * cells).astype(np.uint16 if cells == COMMON_CELLS else np.int32).reshape(-1, cells)
     return np.minimum(counts[where[: len(x)]], counts[where[len(x) :]]).sum(axis=1, dtype=np.int64)
 
 
+def _ends(words: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the texts ``x`` and ``y`` (as in ``in_common``): how many words begin both, how many others end both, and the edits of ``at_most``."""
+    n, m = (np.diff(begin)[i] for i in (x, y))
+    least = np.minimum(n, m)
+    width = max(int(least.max(initial=0)), 1)
+    blank = np.zeros(width, words.dtype)
+    run = np.lib.stride_tricks.sliding_window_view(np.concatenate([blank, words, blank]), width)
+    inside = np.arange(width) < least[:, None]
+    differ = inside & (run[begin[x] + width] != run[begin[y] + width])
+    behind = inside & (run[begin[x + 1]] != run[begin[y + 1]])[:, ::-1]
+    start, end = (np.where(d.any(axis=1), d.argmax(axis=1), least) for d in (differ, behind))
+    end = np.minimum(end, least - start)
+    far = np.maximum(n, m) - start - end
+    return start, end, np.where(n == m, np.minimum(far, differ.sum(axis=1)), far)
+
+
 def at_most(words: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Edits that turn the texts ``x`` into ``y`` (as in ``in_common``), maybe more than needed: what stands between equal
     beginnings and ends is replaced, or, of equal lengths, each word that differs."""
-    n, m = (np.diff(begin)[i] for i in (x, y))
-    least, place = np.minimum(n, m), np.arange(max(int(np.minimum(n, m).max(initial=0)), 1))
-    inside = place < least[:, None]
-    word = lambda at: words[np.clip(at, 0, len(words) - 1)]
-    differ = inside & (word(begin[x][:, None] + place) != word(begin[y][:, None] + place))
-    behind = inside & (word(begin[x + 1][:, None] - 1 - place) != word(begin[y + 1][:, None] - 1 - place))
-    start, end = (np.where(d.any(axis=1), d.argmax(axis=1), least) for d in (differ, behind))
-    far = np.maximum(n, m) - np.minimum(start + end, least)
-    return np.where(n == m, np.minimum(far, differ.sum(axis=1)), far)
+    return _ends(words, begin, x, y)[2]
+
+
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of the texts, A-Z lower-cased, one after the other, and where each text begins (and the last ends)."""
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    words = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int32)  # equal words, equal codes
+    return words, split.offsets.to_numpy().astype(np.int64)
 
 
 def similar_rows(a: pa.Array, b: pa.Array, percent: int = PERCENT) -> np.ndarray:
     """``similar`` for each pair of lines, by their words with A-Z lower-cased."""
     texts = pa.concat_arrays([x.cast(pa.large_string()) for x in (a, b)]).dictionary_encode()
-    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.dictionary)))
-    words = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int32)  # equal words, equal codes
-    begin = split.offsets.to_numpy().astype(np.int64)
-    size, which = np.diff(begin), texts.indices.to_numpy().astype(np.int64)
-    x, y = which[: len(a)], which[len(a) :]
+    words, begin = _coded(texts.dictionary)
+    which = texts.indices.to_numpy().astype(np.int64)
+    return _similar(words, begin, which[: len(a)], which[len(a) :], percent)
+
+
+def _similar(words: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """``similar`` for each pair of the texts ``x`` and ``y`` (as in ``in_common``)."""
+    size = np.diff(begin)
     most = np.maximum(size[x], size[y])
     out = 100 * np.minimum(size[x], size[y]) >= percent * most
     some = np.flatnonzero(out & (most <= MOST_WORDS))
     some = some[np.argsort(most[some], kind="stable")]
-    at = 0
+    longest, at = most[some], 0
+    inner = []  # what stands between equal beginnings and ends
     while at < len(some):
-        part = some[at : at + AT_ONCE]
-        at += AT_ONCE
-        part = part[100 * at_most(words, begin, x[part], y[part]) > (100 - percent) * most[part]]  # the others are similar
-        out[part] = 100 * in_common(words, begin, x[part], y[part]) >= percent * most[part]
-        part = part[out[part]]
-        if len(part):
-            place = np.arange(int(most[part[-1]]))
-            grid = lambda i, none: np.where(place < size[i][:, None], words[np.minimum(begin[i][:, None] + place, len(words) - 1)], np.int32(none))
-            far = distances(grid(x[part], -1), grid(y[part], -2), size[x[part]], size[y[part]])
-            out[part] = 100 * (most[part] - far) >= percent * most[part]
-    for i in np.flatnonzero(out & (most > MOST_WORDS)).tolist():
+        until = min(at + AT_ONCE, int(np.searchsorted(longest, 2 * longest[at], "right")))
+        part, at = some[at:until], until
+        start, end, edits = _ends(words, begin, x[part], y[part])
+        out[part] = 100 * edits <= (100 - percent) * most[part]
+        left = ~out[part] & (np.minimum(size[x[part]], size[y[part]]) > start + end)  # else these edits are the distance
+        left[left] = 100 * in_common(words, begin, x[part[left]], y[part[left]]) >= percent * most[part[left]]
+        inner.append(np.stack([part[left], start[left], *(size[i[part[left]]] - start[left] - end[left] for i in (x, y))]))
+    inner = np.concatenate(inner, axis=1) if inner else np.zeros((4, 0), np.int64)
+    wide = np.maximum(*inner[2:])
+    by = np.argsort(wide, kind="stable")
+    inner, wide, at = inner[:, by], wide[by], 0
+    while at < len(wide):
+        until = min(at + AT_ONCE, int(np.searchsorted(wide, max(64, 2 * wide[at]), "right")))
+        (own, start, *sizes), place, at = inner[:, at:until], np.arange(int(wide[until - 1])), until
+        grid = lambda i, k, none: np.where(place < sizes[k][:, None], words[np.minimum((begin[i[own]] + start)[:, None] + place, len(words) - 1)], np.int32(none))  # noqa: B023, E731
+        out[own] = 100 * (most[own] - distances(grid(x, 0, -1), grid(y, 1, -2), *sizes)) >= percent * most[own]
+    long = np.flatnonzero(out & (most > MOST_WORDS))
+    for at in range(0, len(long), LONG_AT_ONCE):
+        part = long[at : at + LONG_AT_ONCE]
+        out[part] = 100 * in_common(words, begin, x[part], y[part], LONG_CELLS) >= percent * most[part]
+    for i in long[out[long]].tolist():
         out[i] = similar(*(words[begin[t] : begin[t + 1]].tolist() for t in (x[i], y[i])), percent)
     return out
 
@@ -496,14 +533,25 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda x: texts.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def checked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            part = pa.Table.from_batches(held).combine_chunks()
+            keep = pa.array(similar_rows(*(part.column(c).combine_chunks() for c in ("wa", "wb"))))
+            return pa.RecordBatch.from_arrays([part.column(c).filter(keep).combine_chunks() for c in ("a", "b")], names=["a", "b"])
+        held, full = [], 0
         for batch in batches:
-            size = np.cumsum([pc.add(pc.binary_length(batch.column("wa")), pc.binary_length(batch.column("wb"))).to_numpy(zero_copy_only=False)], dtype=np.int64)
+            size = np.cumsum(pc.add(pc.binary_length(batch.column("wa")), pc.binary_length(batch.column("wb"))).to_numpy(zero_copy_only=False), dtype=np.int64)
             at = 0
             while at < len(size):
-                end = max(at + 1, int(np.searchsorted(size, size[at] + MOST_BYTES)))
-                part, at = batch.slice(at, end - at), end
-                keep = pa.array(similar_rows(part.column("wa"), part.column("wb")))
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+                before = int(size[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(size, before + MOST_BYTES - full, "right")))
+                held.append(batch.slice(at, end - at))
+                full += int(size[end - 1]) - before
+                at = end
+                if full >= MOST_BYTES or at < len(size):
+                    yield checked(held)
+                    held, full = [], 0
+        if held:
+            yield checked(held)
     return rows.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
@@ -523,40 +571,41 @@ def _groups(lines: DataFrame, often: np.ndarray, docs: DataFrame, copied: bool,
     apart = " + ".join(f"bit_count({o}a ^ {o}b)" for o in ODD)
     bound = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and 100 * ({apart} + abs(na - nb)) <= {2 * (100 - PERCENT)} * greatest(na, nb)")
     bounded = direct.union(alike).distinct().join(side("a"), "ha").join(side("b"), "hb").where(bound).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = staged(lines.join(ids, "id", "left_semi").select("id", "doc_id", "th", "at", "bytes"))
-        texts = staged(_texts(wanted, docs, copied, id_col, text_col))
-        out = staged(_verified(pairs, texts))
-        release(wanted, texts)
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = staged(lines.join(ids.distinct(), "id", "left_semi").select("id", "doc_id", "th", "at", "bytes"))
+        out = staged(_texts(wanted, docs, copied, id_col, text_col))
+        release(wanted)
         return out
     sizes = staged(shown.groupBy("key").count())
     meeting = staged(_meeting(shown, sizes, lines, None))
     pairs = staged(bounded.union(meeting.where("key is null").select("a", "b")).distinct())
-    links = verified(pairs)
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    links = staged(_verified(pairs, texts))
+    release(texts)
     found = components(links)
     dense = meeting.where("key is not null")
     if dense.take(1):  # lines of these keys that are still in different groups
         if found.count() <= MOST_BROADCAST:
-            known, apart = [], _apart(dense.select("cell"), found)
+            known, rooms = [], _apart(dense.select("cell"), found, True)
         else:
             known = [staged(dense.select("key").distinct())]
             known.append(staged(shown.join(known[0], "key", "left_semi")))
             own = few(known[1].select("h1"))
-            apart = _meeting(known[1], sizes, lines if own is None else lines.join(own, "h1", "left_semi"), found).select("a", "b")
-        left = staged(apart.distinct().join(pairs, ["a", "b"], "left_anti"))
-        more = verified(left)
+            rooms = _meeting(known[1], sizes, lines if own is None else lines.join(own, "h1", "left_semi"), found, True)
+        rooms = staged(rooms)
+        texts = texts_of(rooms.select(F.explode("ids").alias("id")))
+        more = staged(_linked(rooms, texts))
         before, found = found, _joined(found, more)
-        release(before, *known, left, more)
+        release(before, *known, rooms, texts, more)
     release(met, sizes, meeting, pairs, links)
     return found.select(F.col("node").alias("id"), "component")
 
 
-def _meeting(shown: DataFrame, sizes: DataFrame, lines: DataFrame, found: DataFrame | None) -> DataFrame:
+def _meeting(shown: DataFrame, sizes: DataFrame, lines: DataFrame, found: DataFrame | None, roomed: bool = False) -> DataFrame:
     """Pairs ``a, b`` of ids of the lines of a key in ``shown`` (``key, h1``) that the bound allows to be similar. Without
     ``found`` each line meets MOST_FIRST shorter or equal ones of a key at most, and rows without a pair name the ``key`` where
     there are more, with its lines packed in ``cell``; with ``found`` every two of different groups meet. ``sizes``: how many rows a key has. Lines of a key of more than
-    MOST_CELL are dealt into parts, any two of which meet apart."""
+    MOST_CELL are dealt into parts, any two of which meet apart. ``roomed``: the lines of these pairs as ``_rooms`` packs them, with ``found``."""
     own = lines.select("id", "h1", "words", *ODD)
     if found is not None:
         own = own.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -571,46 +620,127 @@ def _meeting(shown: DataFrame, sizes: DataFrame, lines: DataFrame, found: DataFr
     else:
         rows = shown.select("key", "h1", *place)
     rows = rows.join(own, "h1").drop("h1").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)))
+    if roomed:
+        return rows.groupBy("bucket").applyInArrow(lambda x: pa.Table.from_batches(_rooms(cell for _, cell in _cells(x)), ROOM), "room string, ids array<long>, cells binary")
     limit = MOST_FIRST if found is None else None
     return rows.groupBy("bucket").applyInArrow(lambda x: _met_lines(x, limit), "a long, b long, key long, cell binary")
 
 
-def _apart(cells: DataFrame, found: DataFrame) -> DataFrame:
+def _apart(cells: DataFrame, found: DataFrame, roomed: bool = False) -> DataFrame:
     """``_meeting`` with ``found``, of at most MOST_BROADCAST nodes, for the packed lines that ``_meeting`` left without it."""
     groups = found.select("node", "component").toArrow()
     node, component = (groups.column(c).to_numpy() for c in ("node", "component"))
     by = np.argsort(node)
     node, component = node[by], component[by]
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for cell in batch.column("cell"):
                 ids, n, part, *odd = np.frombuffer(cell.as_buffer(), np.int64).reshape(3 + len(ODD), -1)
                 at = np.minimum(np.searchsorted(node, ids), max(len(node) - 1, 0))
                 group = np.where(node[at] == ids, component[at], ids) if len(node) else ids
-                new, _ = _cell_pairs(ids, n, [o.view(np.uint64) for o in odd], group, part, None)
-                held += new
-                size += sum(map(len, new))
-                if size > 2 * MOST_HELD:  # a pair may have many keys
-                    held = [np.unique(np.concatenate(held), axis=0)]
-                    size = len(held[0])
-                    if size > MOST_HELD:
-                        yield two(held[0])
-                        held, size = [], 0
-        if size:
-            yield two(np.unique(np.concatenate(held), axis=0))
-    def two(pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(2)], names=["a", "b"])
+                yield ids, n, [o.view(np.uint64) for o in odd], group, part
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in grouped(batches):
+            for pairs in _cell_pairs(*cell, None)[0]:
+                x, y = np.ascontiguousarray(pairs.T)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
     lines = cells.agg(F.sum(F.octet_length("cell"))).first()[0] // (8 * (3 + len(ODD)))
-    return cells.repartition(max(8, -(-lines // MOST_DEALT))).mapInArrow(run, "a long, b long")
-
-
-def _cell_pairs(ids, n, odd, group, part, limit: int | None) -> tuple[list[np.ndarray], bool]:
-    """Pairs of the lines of a cell, sorted by length, that are of different groups and that the bound allows, of different
-    parts if ``part`` isn't negative; and whether ``limit`` left some out."""
-    pairs, dense = [], False
+    cells = cells.repartition(max(8, -(-lines // MOST_DEALT)))
+    if roomed:
+        return cells.mapInArrow(lambda batches: _rooms(grouped(batches)), "room string, ids array<long>, cells binary")
+    return cells.mapInArrow(run, "a long, b long")
+
+
+ROOM = pa.schema([("room", pa.string()), ("ids", pa.list_(pa.int64())), ("cells", pa.binary())])
+
+
+def _rooms(cells: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """``room, ids, cells``: of the cells (arguments of ``_allowed``) the lines that have a pair, for as many cells together as
+    ROOM_WORDS and ROOM_LINES allow, and their distinct ids."""
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([uuid.uuid4().hex], [list(known)], [np.concatenate(held, axis=1).tobytes()]), ROOM.types, strict=True)], schema=ROOM)
+    held, known, size = [], {}, 0
+    for ids, n, odd, group, part in cells:
+        some = np.zeros(len(ids), bool)
+        for x, y in _allowed(ids, n, odd, group, part):
+            some[x] = some[y] = True
+        if not some.any():
+            continue
+        held.append(np.stack([np.full(some.sum(), len(held)), *(c[some].view(np.int64) for c in (ids, n, group, part, *odd))]))
+        known.update(zip(ids[some].tolist(), n[some].tolist(), strict=True))
+        size += int(some.sum())
+        if size > ROOM_LINES or sum(known.values()) > ROOM_WORDS:
+            yield packed()
+            held, known, size = [], {}, 0
+    if held:
+        yield packed()
+
+
+def _linked(rooms: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join the groups of the lines of each room, one for each two groups that meet."""
+    wanted = rooms.select("room", F.explode("ids").alias("id")).join(texts, "id").select("room", F.lit(None).cast("binary").alias("cells"), "id", "words")
+    rows = rooms.select("room", "cells", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("words")).union(wanted)
+    return rows.groupBy("room").applyInArrow(_room_links, "a long, b long")
+
+
+def _room_links(rows: pa.Table) -> pa.Table:
+    """What ``_linked`` finds in a room."""
+    packed = rows.filter(pc.is_valid(rows.column("cells"))).column("cells")[0].as_py()
+    number, ids, n, group, part, *odd = np.frombuffer(packed, np.int64).reshape(5 + len(ODD), -1)
+    texts = rows.filter(pc.is_valid(rows.column("id"))).combine_chunks().sort_by("id")
+    every = texts.column("id").to_numpy()
+    words, begin = _coded(pc.cast(texts.column("words"), pa.large_string()).combine_chunks())
+    row, (_, own) = np.searchsorted(every, ids), np.unique(group, return_inverse=True)
+    group_of = np.zeros(len(every), np.int64)
+    group_of[row] = own
+    top = np.arange(own.max() + 1)  # of each group
+    tested, links = np.zeros(0, np.int64), []
+    def test(pairs: np.ndarray) -> None:
+        nonlocal tested, top
+        pairs = np.setdiff1d(pairs, tested)
+        x, y = pairs // len(every), pairs % len(every)
+        open_ = top[group_of[x]] != top[group_of[y]]
+        x, y, pairs = x[open_], y[open_], pairs[open_]
+        near = _similar(words, begin, x, y)
+        tested = np.union1d(tested if len(tested) < MOST_TESTED else tested[:0], pairs[~near])
+        up = {}
+        def root(g: int) -> int:
+            while g in up:
+                g = up[g]
+            return g
+        for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+            g, h = (root(int(top[group_of[k]])) for k in (i, j))
+            if g != h:
+                up[max(g, h)] = min(g, h)
+                links.append((i, j))
+        if up:
+            roots = np.arange(len(top))
+            for g in up:
+                roots[g] = root(g)
+            top = roots[top]
+    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    held, size = [], 0
+    for start, end in zip(first.tolist(), [*first[1:].tolist(), len(number)], strict=True):
+        cell = slice(start, end)
+        for x, y in _allowed(ids[cell], n[cell], [o[cell].view(np.uint64) for o in odd], own[cell], part[cell]):
+            x, y = row[cell][x], row[cell][y]
+            some = top[group_of[x]] != top[group_of[y]]
+            held.append((np.minimum(x, y) * len(every) + np.maximum(x, y))[some])
+            size += len(held[-1])
+            if size > AT_ONCE:
+                test(np.concatenate(held))
+                held, size = [], 0
+    if size:
+        test(np.concatenate(held))
+    a, b = every[np.array(links, np.int64).reshape(-1, 2)].T
+    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _allowed(ids, n, odd, group, part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the lines (numbers) of a cell, sorted by length, that are of different groups and that the bound allows, of different
+    parts if ``part`` isn't negative; those of some of the longer or equal lines at once."""
     if (group == group[0]).all():
-        return pairs, dense
+        return
     most = 2 * (100 - PERCENT) * n // 100
     shortest = np.searchsorted(n, -(-PERCENT * n[::AT_LENGTH] // 100))
     for a, lo in zip(range(0, len(ids), AT_LENGTH), shortest.tolist(), strict=True):
@@ -623,7 +753,13 @@ def _cell_pairs(ids, n, odd, group, part, limit: int | None) -> tuple[list[np.nd
         x, y = x[some], y[some]
         some = (group[x] != group[y]) & ((part[x] < 0) | (part[x] != part[y]))
         some &= sum(np.bitwise_count(o[x] ^ o[y]).astype(np.int64) for o in odd) + n[y] - n[x] <= most[y]
-        x, y = x[some], y[some]
+        yield x[some], y[some]
+
+
+def _cell_pairs(ids, n, odd, group, part, limit: int | None) -> tuple[list[np.ndarray], bool]:
+    """The pairs of ``_allowed`` by ids; and whether ``limit`` left some out."""
+    pairs, dense = [], False
+    for x, y in _allowed(ids, n, odd, group, part):
         if limit is not None and len(y):
             new = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
             stays = np.arange(len(y)) - np.repeat(new, np.diff(np.append(new, len(y)))) < limit
@@ -634,8 +770,8 @@ def _cell_pairs(ids, n, odd, group, part, limit: int | None) -> tuple[list[np.nd
     return pairs, dense
 
 
-def _met_lines(rows: pa.Table, limit: int | None) -> pa.Table:
-    """What ``_meeting`` finds in a bucket."""
+def _cells(rows: pa.Table) -> Iterator[tuple]:
+    """The cells of a bucket of ``_meeting``, with their keys, as arguments of ``_allowed``."""
     read = lambda c: rows.column(c).to_numpy()
     ids, n = read("id"), read("words").astype(np.int64)
     cell = read("key").view(np.uint64) ^ mix((read("i").astype(np.uint64) << np.uint64(32)) | read("j").astype(np.uint64))
@@ -647,15 +783,22 @@ def _met_lines(rows: pa.Table, limit: int | None) -> pa.Table:
     key, part = read("key")[by], np.where(read("i") != read("j"), read("p"), -1)[by].astype(np.int64)
     odd = [read(o)[by].view(np.uint64) for o in ODD]
     group = read("component")[by] if "component" in rows.column_names else ids
-    pairs, dense, cells = [], [], []
     first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     for start, end in zip(first.tolist(), [*first[1:].tolist(), len(cell)], strict=True):
         own = slice(start, end)
-        new, more = _cell_pairs(ids[own], n[own], [o[own] for o in odd], group[own], part[own], limit)
+        yield key[start], (ids[own], n[own], [o[own] for o in odd], group[own], part[own])
+
+
+def _met_lines(rows: pa.Table, limit: int | None) -> pa.Table:
+    """What ``_meeting`` finds in a bucket."""
+    pairs, dense, cells = [], [], []
+    for key, cell in _cells(rows):
+        new, more = _cell_pairs(*cell, limit)
         pairs += new
         if more:
-            dense.append(key[start])
-            cells.append(np.concatenate([x[own].view(np.int64) for x in (ids, n, part, *odd)]).tobytes())
+            ids, n, odd, _, part = cell
+            dense.append(key)
+            cells.append(np.concatenate([x.view(np.int64) for x in (ids, n, part, *odd)]).tobytes())
     pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
     column = lambda x, more, front: pa.concat_arrays([x, pa.nulls(more, x.type)][:: 1 if front else -1])
     columns = [column(pa.array(np.ascontiguousarray(pairs[:, i])), len(dense), True) for i in range(2)]
