@@ -146,7 +146,7 @@ def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(WORD_CELLS, np.int64)
         for batch in batches:
-            for a, b, data, begin in chunks(batch.column("text")):
+            for a, b, data, begin in chunks(batch.column("text"), 1 << 17):
                 starts, hashes = words_of(data)
                 total += np.bincount((hashes & np.uint64(WORD_CELLS - 1)).astype(np.int64), minlength=WORD_CELLS)
                 ends = np.flatnonzero(data == 10)

@@ -1,8 +1,8 @@
 """Hashes of words and sets of word shingles, by whole arrays.
 
 Texts are read as UTF-8; A-Z are lower-cased; a word is a run of bytes other than the blank and 9 to 13, which is the
-same as by characters. A word's hash is a polynomial of its bytes, taken from running sums over the buffer, then
-mixed. Buffers are cut between words into segments, so memory stays bounded for texts of any length.
+same as by characters. A word's hash mixes its bytes in, eight at a time. Buffers are
+cut between words into segments, so memory stays bounded for texts of any length.
 """
 
 from __future__ import annotations
@@ -33,13 +33,16 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: The low bytes of a long, by their number.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Bytes of words that are hashed together; longer ones are hashed one by one.
+_TOGETHER = 512
+#: Powers of BASE, as many as the longest word so far took.
 _POWERS: list[np.ndarray] = []
 
 
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte and hash of every word of a buffer that ends with a blank."""
-    if not _POWERS:
-        _POWERS.extend([_powers(SEGMENT * 2, BASE), _powers(SEGMENT * 2, pow(BASE, -1, 1 << 64))])
     starts, hashes, at = [], [], 0
     while at < len(data):
         end = min(at + SEGMENT, len(data))
@@ -47,18 +50,26 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             more = np.flatnonzero(_BLANK[data[end : end + SEGMENT]])
             end = end + int(more[0]) + 1 if len(more) else min(end + SEGMENT, len(data))
         part = data[at:end]
-        up, down = _POWERS if len(part) <= len(_POWERS[0]) else (_powers(len(part), BASE), _powers(len(part), pow(BASE, -1, 1 << 64)))
         blank = (part == 32) | (part - np.uint8(9) < 5)
         edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
         if not blank[0]:
             edge = np.concatenate([[0], edge])
         first, last = edge[::2], edge[1::2]
-        lower = np.frombuffer(part.tobytes().lower(), np.uint8).astype(np.uint64)
-        lower += np.uint64(1)
-        lower *= up[: len(part)]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(lower, out=sums[1:])
-        hashes.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+        size = last - first
+        eight = np.ndarray(len(part), "<u8", part.tobytes().lower() + bytes(8), 0, (1,))  # the eight bytes from each place
+        found = mix(eight[first] & _LOW[np.minimum(size, 8)] ^ size.astype(np.uint64) * np.uint64(BASE))
+        some, k = np.flatnonzero((size > 8) & (size <= _TOGETHER)), 8
+        while len(some):
+            left = size[some] - k
+            found[some] = mix(found[some] * np.uint64(BASE) + (eight[first[some] + k] & _LOW[np.minimum(left, 8)]))
+            some, k = some[left > 8], k + 8
+        for i in np.flatnonzero(size > _TOGETHER).tolist():
+            blocks = eight[first[i] : last[i] : 8].copy()
+            blocks[-1] &= _LOW[(size[i] - 1) % 8 + 1]
+            if not _POWERS or len(_POWERS[0]) < len(blocks):
+                _POWERS[:] = [_powers(2 * len(blocks), BASE)]
+            found[i] = mix(found[i : i + 1] + (mix(blocks) * _POWERS[0][: len(blocks)]).sum(dtype=np.uint64))[0]
+        hashes.append(found)
         starts.append(first + at)
         at = end
     return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
